@@ -1,0 +1,27 @@
+"""Typed knowledge graphs with quoted evidence: compile, validate and query them on Spark."""
+
+from graphproof.model import Graph, GraphSchema, ordered
+from graphproof.operators.compile import compile_graph, selectors_of
+from graphproof.operators.decide import build_requests, check_answers, decide, escalate
+from graphproof.operators.evidence import resolve_evidence
+from graphproof.operators.explain import explain
+from graphproof.operators.lookup import lookup
+from graphproof.operators.neighborhood import neighborhood
+from graphproof.operators.paths import shortest_paths
+from graphproof.operators.summary import open_verdicts, require_valid, summarize
+from graphproof.plans.validation import ValidationReport, validate
+from graphproof.plans.workspace import Workspace, compile_workspace
+from graphproof.session import Scratch
+from graphproof.sources.corpus import read_corpus, read_sources
+from graphproof.sources.frontmatter import parse_documents
+from graphproof.sources.report import to_json_rows, write_report
+from graphproof.sources.schema import read_schema, schema_from_tables, schema_from_yaml
+
+__all__ = [
+    "Graph", "GraphSchema", "Scratch", "ValidationReport", "Workspace", "build_requests",
+    "check_answers", "compile_graph", "compile_workspace", "decide", "escalate", "explain",
+    "lookup", "neighborhood", "open_verdicts", "ordered", "parse_documents", "read_corpus",
+    "read_schema", "read_sources", "require_valid", "resolve_evidence", "schema_from_tables",
+    "schema_from_yaml", "selectors_of", "shortest_paths", "summarize", "to_json_rows",
+    "validate", "write_report",
+]

@@ -32,6 +32,14 @@ def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+@F.pandas_udf("array<string>")
+def _compose_each(lists: pd.Series) -> pd.Series:
+    return lists.map(
+        lambda texts: [None if t is None else unicodedata.normalize("NFC", t) for t in texts],
+        na_action="ignore",
+    )
+
+
 def normalize_newlines(text: Column) -> Column:
     """CRLF and lone CR become LF."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -59,6 +67,13 @@ def lookup_key(text: Column) -> Column:
     return F.lower(compose(trim_unicode(text)))
 
 
+def lookup_keys(texts: Column) -> Column:
+    """:func:`lookup_key` of every element of an array."""
+    trimmed = F.transform(texts, trim_unicode)
+    suspicious = F.when(F.exists(trimmed, lambda t: t.rlike(NEEDS_COMPOSING)), trimmed)
+    return F.transform(F.coalesce(_compose_each(suspicious), trimmed), F.lower)
+
+
 def is_machine_key(text: Column) -> Column:
     return text.rlike(KEY_PATTERN)
 
