@@ -1,5 +1,9 @@
 """Typed knowledge graphs with quoted evidence: compile, validate and query them on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from graphproof.model import Graph, GraphSchema, ordered
 from graphproof.operators.compile import compile_graph, selectors_of
 from graphproof.operators.decide import build_requests, check_answers, decide, escalate
@@ -25,3 +29,6 @@ __all__ = [
     "schema_from_yaml", "selectors_of", "shortest_paths", "summarize", "to_json_rows",
     "validate", "write_report",
 ]
+
+# Executors need not have this package installed: its task functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphproof.fixed_values import FRONT_CLOSE, FRONT_OPEN, KEY_PATTERN
 
@@ -27,12 +28,12 @@ _COMPOSED_RANGES = (
 NEEDS_COMPOSING = f"[^{_COMPOSED_RANGES}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _compose_each(lists: pd.Series) -> pd.Series:
     return lists.map(
         lambda texts: [None if t is None else unicodedata.normalize("NFC", t) for t in texts],

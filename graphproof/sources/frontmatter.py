@@ -65,8 +65,12 @@ def load_yaml(text: str, layout: dict) -> dict:
     return _decode(node, layout, "document")
 
 
+def _is_plain(node) -> bool:
+    return isinstance(node, yaml.ScalarNode) and not node.style
+
+
 def _is_null(node) -> bool:
-    return isinstance(node, yaml.ScalarNode) and node.style is None and node.value in _NULLS
+    return _is_plain(node) and node.value in _NULLS
 
 
 def _decode(node, kind, where: str):
@@ -88,10 +92,10 @@ def _decode(node, kind, where: str):
     if kind == "text":
         return node.value
     if kind == "flag":
-        if node.style is not None or node.value not in _BOOLS:
+        if not _is_plain(node) or node.value not in _BOOLS:
             raise DecodeError(f"{where}: expected true or false")
         return _BOOLS[node.value]
-    if node.style is not None or not re.fullmatch(r"\+?(0|[1-9][0-9]*)", node.value):
+    if not _is_plain(node) or not re.fullmatch(r"\+?(0|[1-9][0-9]*)", node.value):
         raise DecodeError(f"{where}: expected a non-negative integer")
     return int(node.value)
 
