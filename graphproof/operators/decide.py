@@ -114,10 +114,14 @@ def decide(requests: DataFrame, decider: Callable[[str], str | None]) -> DataFra
             )
 
     return requests.select("query_id", "request").mapInPandas(
-        ask, "query_id bigint, response string, failure string"
+        ask, f"query_id {_id_type(requests)}, response string, failure string"
     )
 
 
+def _id_type(df: DataFrame) -> str:
+    return df.schema["query_id"].dataType.simpleString()
+
+
 def _unique(pairs):
     out = dict(pairs)
     if len(out) != len(pairs):
@@ -181,7 +185,8 @@ def check_answers(
     if "failure" not in answers.columns:
         answers = answers.withColumn("failure", F.lit(None).cast("string"))
     read = answers.select("query_id", "response").mapInPandas(
-        _read_batches, "query_id bigint, entity_id string, confidence double, problem string"
+        _read_batches,
+        f"query_id {_id_type(answers)}, entity_id string, confidence double, problem string",
     )
     failed = answers.select("query_id", "failure")
     asked = (

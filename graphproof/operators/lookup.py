@@ -77,7 +77,11 @@ def _grams(text: Column, size: Column | int) -> Column:
 def _entity_grams(keyed: DataFrame, sizes: list[int]) -> DataFrame:
     """One row per entity row and distinct gram of its keys."""
     texts = F.concat(F.array("id_key", "title_key"), F.col("alias_keys"))
-    grams = [F.flatten(F.transform(texts, lambda t, n=n: _grams(t, n))) for n in sizes]
+
+    def of_size(size: int) -> Column:
+        return F.flatten(F.transform(texts, lambda text: _grams(text, size)))
+
+    grams = [of_size(size) for size in sizes]
     return keyed.select(
         *ENTITY, *KEYS, F.explode(F.array_distinct(F.concat(*grams))).alias("gram")
     )

@@ -488,47 +488,36 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders as compiled documents: one relation per line, nested as a document declares it."""
-    lines = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("line"),
-    )
-    nested = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    none = F.array().cast(f"array<{SELECTOR}>")
+    """Orders as parsed documents, with two or three relations and their evidence nested."""
+    orders = table(spark, folder, "orders")
+    quote = F.array(_selector(F.col("o_orderpriority")).cast(SELECTOR))
 
-    def declared(line):
+    def declared(relation, target):
         return F.struct(
-            F.lit("contains").alias("relation"),
-            F.concat(F.lit("part:"), line["l_partkey"]).alias("target"),
-            none.alias("evidence"),
+            F.lit(relation).alias("relation"), target.alias("target"), quote.alias("evidence")
         )
 
-    placed = F.array(
-        F.struct(
-            F.lit("placed_by").alias("relation"),
-            _key("customer", "o_custkey").alias("target"),
-            none.alias("evidence"),
-        )
+    fixed = [
+        declared("placed_by", _key("customer", "o_custkey")),
+        declared("billed_in", _key("nation", F.col("o_custkey") % 25)),
+    ]
+    checked = declared("checked_by", _key("supplier", F.col("o_orderkey") % 10))
+    relations = F.when(F.col("o_orderstatus") == "F", F.array(checked, *fixed)).otherwise(
+        F.array(*fixed)
     )
-    parts = F.coalesce(F.transform("lines", declared), F.array().cast(placed_type()))
-    return orders.join(nested, "o_orderkey", "left").select(
+    return orders.select(
         _doc("order", "o_orderkey").alias("document"),
         F.struct(
             _key("order", "o_orderkey").alias("id"),
             F.lit("Order").alias("type"),
-            F.lit(None).cast("string").alias("title"),
-            F.array().cast("array<string>").alias("aliases"),
-            F.concat(placed, parts).alias("relations"),
+            F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("title"),
+            F.array("o_orderstatus").alias("aliases"),
+            relations.alias("relations"),
         ).alias("meta"),
         F.lit(None).cast("string").alias("error"),
     )
 
 
-def placed_type() -> str:
-    return f"array<struct<relation:string,target:string,evidence:array<{SELECTOR}>>>"
-
-
 # ---- requests --------------------------------------------------------------------------------
 
 
@@ -552,7 +541,7 @@ def roots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and orders to regions, customers to suppliers and themselves, unknown ends."""
+    """Parts to regions, customers to regions, suppliers and themselves, unknown ends."""
     t = lambda name: table(spark, folder, name)
 
     def request(df, start, goal):
@@ -561,12 +550,13 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
             start.alias("from"), goal.alias("to"),
         )
 
-    part, order = t("part"), t("orders")
-    customer, region = t("customer"), t("region")
+    part, customer, region = t("part"), t("customer"), t("region")
     return _union(
         [
             request(part, _key("part", "p_partkey"), _key("region", F.col("p_partkey") % 5)),
-            request(order, _key("order", "o_orderkey"), _key("region", F.col("o_orderkey") % 5)),
+            request(
+                customer, _key("customer", "c_custkey"), _key("region", F.col("c_custkey") % 5)
+            ),
             request(
                 customer, _key("customer", "c_custkey"), _key("supplier", F.col("c_custkey") % 10)
             ),
@@ -594,7 +584,7 @@ def lookups(spark: SparkSession, folder: str) -> DataFrame:
             t("customer").select(F.concat(F.lit("order:"), "c_custkey").alias("text")),
             t("region").select(F.concat(F.lit("nothing-like-"), "r_regionkey").alias("text")),
             t("region").select(F.col("r_regionkey").cast("string").alias("text")),
-            t("region").select(F.lit("　 \t").alias("text")),
+            t("region").select(F.lit("\u3000 \t").alias("text")),
         ]
     ).distinct()
     return texts.select(F.col("text").alias("query_id"), "text")
