@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from graphproof.model import Graph, GraphSchema, ordered
+from graphproof.model import Graph, GraphSchema
 from graphproof.operators.compile import compile_graph, selectors_of
 from graphproof.operators.decide import build_requests, check_answers, decide, escalate
 from graphproof.operators.evidence import resolve_evidence
@@ -20,6 +20,7 @@ from graphproof.sources.corpus import read_corpus, read_sources
 from graphproof.sources.frontmatter import parse_documents
 from graphproof.sources.report import to_json_rows, write_report
 from graphproof.sources.schema import read_schema, schema_from_tables, schema_from_yaml
+from graphproof.verdicts import ordered
 
 __all__ = [
     "Graph", "GraphSchema", "Scratch", "ValidationReport", "Workspace", "build_requests",

@@ -1,4 +1,4 @@
-"""Record layouts of the graph tables and the builders for verdict and witness structs."""
+"""Record layouts of the graph tables."""
 
 from __future__ import annotations
 
@@ -14,25 +14,7 @@ META = (
     "struct<id:string,type:string,title:string,aliases:array<string>,"
     f"relations:array<{RELATION_DECL}>>"
 )
-WITNESS = (
-    "struct<kind:string,path:string,from:string,relation:string,to:string,source:string,"
-    "state:string,exact:string,start_line:bigint,end_line:bigint>"
-)
-SORT_KEY = (
-    "struct<phase:int,k1:string,k2:string,k3:string,k4:string,ord:bigint,step:int,sub:int>"
-)
-
-ENTITY_COLUMNS = ["id", "kind", "title", "aliases", "document"]
-EDGE_COLUMNS = ["src", "relation", "dst", "declaration", "decl_ordinal", "evidence"]
 EDGE_KEY = ["src", "relation", "dst", "declaration", "decl_ordinal"]
-VERDICT_COLUMNS = ["status", "code", "subject", "message", "witness", "sort_key"]
-
-_WITNESS_FIELDS = [
-    ("kind", "string"), ("path", "string"), ("from", "string"), ("relation", "string"),
-    ("to", "string"), ("source", "string"), ("state", "string"), ("exact", "string"),
-    ("start_line", "bigint"), ("end_line", "bigint"),
-]
-
 
 @dataclass(frozen=True)
 class GraphSchema:
@@ -65,69 +47,3 @@ def fill(template: str, *values: Column | str) -> Column:
             value = values[i]
             out.append((F.col(value) if isinstance(value, str) else value).cast("string"))
     return F.concat(*out) if len(out) > 1 else out[0]
-
-
-def _witness(**given: Column) -> Column:
-    return F.struct(
-        *[
-            given.get(name, F.lit(None)).cast(kind).alias(name)
-            for name, kind in _WITNESS_FIELDS
-        ]
-    )
-
-
-def schema_witness(path: Column | str) -> Column:
-    path = F.lit(path) if isinstance(path, str) else path
-    return _witness(kind=F.lit("schema"), path=path)
-
-
-def declaration_witness(path: Column) -> Column:
-    return _witness(kind=F.lit("declaration"), path=path)
-
-
-def assertion_witness(src: Column, relation: Column, dst: Column) -> Column:
-    return _witness(**{"kind": F.lit("assertion"), "from": src, "relation": relation, "to": dst})
-
-
-def evidence_witness(source, state, exact, start_line, end_line) -> Column:
-    return _witness(
-        kind=F.lit("evidence"), source=source, state=state, exact=exact,
-        start_line=start_line, end_line=end_line,
-    )
-
-
-def sort_key(phase: int, *keys: Column, ord: Column | None = None, step=0, sub=0) -> Column:
-    """Position of a verdict in the report: phase first, then natural keys."""
-    keys = list(keys) + [F.lit(None)] * (4 - len(keys))
-    as_col = lambda v: F.lit(v) if isinstance(v, int) else v
-    return F.struct(
-        F.lit(phase).cast("int").alias("phase"),
-        *[k.cast("string").alias(f"k{i + 1}") for i, k in enumerate(keys)],
-        (ord if ord is not None else F.lit(0)).cast("bigint").alias("ord"),
-        as_col(step).cast("int").alias("step"),
-        as_col(sub).cast("int").alias("sub"),
-    )
-
-
-def verdict(status, code, subject, message, witness: list[Column], key: Column) -> Column:
-    """One verdict row as a struct column."""
-    text = lambda v: F.lit(v) if isinstance(v, str) else v
-    return F.struct(
-        text(status).alias("status"),
-        text(code).alias("code"),
-        text(subject).alias("subject"),
-        text(message).alias("message"),
-        F.array(*witness).alias("witness"),
-        key.alias("sort_key"),
-    )
-
-
-def emit(df: DataFrame, *candidates: Column) -> DataFrame:
-    """Rows of every non-null verdict struct among ``candidates``, in one pass over ``df``."""
-    picked = F.filter(F.array(*candidates), lambda v: v.isNotNull())
-    return df.select(F.inline(picked))
-
-
-def ordered(verdicts: DataFrame) -> DataFrame:
-    """The report in its canonical order (a range-partitioned sort; only for output)."""
-    return verdicts.orderBy("sort_key", "code")

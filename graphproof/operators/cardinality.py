@@ -12,8 +12,10 @@ from graphproof.fixed_values import (
     STATUS_VIOLATED,
     SUBJECT_COUNT,
 )
-from graphproof.model import GraphSchema, emit, fill, schema_witness, sort_key, verdict
+from graphproof.model import GraphSchema
+from graphproof.model import fill as fill_column
 from graphproof.skew import lookup_join
+from graphproof.verdicts import emit, fill, schema_witness, sort_key, text, verdict, when
 
 PHASE = 6
 
@@ -40,27 +42,27 @@ def cardinality_rules(
     """
     checks = entities.select("id", "kind", "document").join(_constraints(schema), "kind")
     counts = degree_counts(valid_edges).withColumnRenamed("src", "id")
-    counted = lookup_join(
-        checks, counts, ["id", "relation"], spread=["document"]
-    ).withColumn("degree", F.coalesce("degree", F.lit(0)))
-
-    low, high, degree = F.col("min"), F.col("max"), F.col("degree")
-    broken = F.coalesce(degree < low, F.lit(False)) | F.coalesce(degree > high, F.lit(False))
+    counted = (
+        lookup_join(checks, counts, ["id", "relation"], spread=["document"])
+        .withColumn("degree", F.coalesce("degree", F.lit(0)))
+        .withColumn("broken", F.expr("coalesce(degree < min, false) OR coalesce(degree > max, false)"))
+    )
     expected = (
-        F.when(low.isNotNull() & high.isNotNull(), fill("{}..={}", low, high))
-        .when(low.isNotNull(), fill(">={}", low))
-        .otherwise(fill("<={}", high))
+        f"CASE WHEN min IS NOT NULL AND max IS NOT NULL THEN {fill('{}..={}', 'min', 'max')}"
+        f" WHEN min IS NOT NULL THEN {fill('>={}', 'min')} ELSE {fill('<={}', 'max')} END"
+    )
+    message = when(
+        "broken",
+        fill(MESSAGES["shape.cardinality.violated"], "relation", "degree", expected),
+        fill(MESSAGES["shape.cardinality.satisfied"], "relation", "degree"),
     )
-    message = F.when(
-        broken, fill(MESSAGES["shape.cardinality.violated"], "relation", degree, expected)
-    ).otherwise(fill(MESSAGES["shape.cardinality.satisfied"], "relation", degree))
     return emit(
         counted,
         verdict(
-            F.when(broken, F.lit(STATUS_VIOLATED)).otherwise(F.lit(STATUS_SATISFIED)),
-            "shape.cardinality", fill(SUBJECT_COUNT, "id", "relation"), message,
+            when("broken", text(STATUS_VIOLATED), text(STATUS_SATISFIED)), "'shape.cardinality'",
+            fill(SUBJECT_COUNT, "id", "relation"), message,
             [schema_witness(fill(PATH_SHAPE, "kind", "relation"))],
-            sort_key(PHASE, F.col("id"), F.col("document"), F.col("relation")),
+            sort_key(PHASE, "id", "document", "relation"),
         ),
     )
 
@@ -86,6 +88,6 @@ def cardinality_assertions(
         how="inner",
     )
     return matched.select(
-        fill(SUBJECT_COUNT, "src", "relation").alias("subject"),
+        fill_column(SUBJECT_COUNT, "src", "relation").alias("subject"),
         "kind", "src", "relation", "dst", "declaration", "decl_ordinal",
     )

@@ -18,9 +18,10 @@ from graphproof.fixed_values import (
     STATUS_VIOLATED,
     SUBJECT_RELATION,
 )
-from graphproof.model import GraphSchema, emit, fill, schema_witness, sort_key, verdict
+from graphproof.model import GraphSchema
 from graphproof.session import Scratch
 from graphproof.skew import hot_buckets, lookup_join
+from graphproof.verdicts import emit, fill, schema_witness, sort_key, text, verdict, when
 
 PHASE = 7
 STEPS_PER_BLOCK = 6
@@ -139,23 +140,23 @@ def find_cycles(schema: GraphSchema, valid_edges: DataFrame, scratch: Scratch):
 
 
 def cycle_verdicts(schema: GraphSchema, residual: DataFrame) -> DataFrame:
-    relation = F.col("relation")
     checked = (
         schema.relations.filter("acyclic")
         .select("relation")
         .join(cyclic_relations(residual).withColumn("cyclic", F.lit(True)), "relation", "left")
     )
-    cyclic = F.coalesce("cyclic", F.lit(False))
     return emit(
         checked,
         verdict(
-            F.when(cyclic, F.lit(STATUS_VIOLATED)).otherwise(F.lit(STATUS_SATISFIED)),
-            F.when(cyclic, F.lit("relation.cycle")).otherwise(F.lit("relation.acyclic")),
-            fill(SUBJECT_RELATION, relation),
-            F.when(cyclic, fill(MESSAGES["relation.cycle"], relation)).otherwise(
-                F.lit(MESSAGES["relation.acyclic"])
+            when("cyclic", text(STATUS_VIOLATED), text(STATUS_SATISFIED)),
+            when("cyclic", "'relation.cycle'", "'relation.acyclic'"),
+            fill(SUBJECT_RELATION, "relation"),
+            when(
+                "cyclic",
+                fill(MESSAGES["relation.cycle"], "relation"),
+                text(MESSAGES["relation.acyclic"]),
             ),
-            [schema_witness(fill(PATH_RELATION_ACYCLIC, relation))],
-            sort_key(PHASE, relation),
+            [schema_witness(fill(PATH_RELATION_ACYCLIC, "relation"))],
+            sort_key(PHASE, "relation"),
         ),
     )

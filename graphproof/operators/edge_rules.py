@@ -19,9 +19,13 @@ from graphproof.fixed_values import (
     SUBJECT_ASSERTION,
 )
 from graphproof.functions.text import accepts
-from graphproof.model import (
-    EDGE_KEY,
-    GraphSchema,
+from graphproof.model import EDGE_KEY, GraphSchema
+from graphproof.operators.compile import selectors_of
+from graphproof.operators.entity_rules import last_declarations
+from graphproof.operators.evidence import resolve_evidence
+from graphproof.session import Scratch
+from graphproof.skew import lookup_join
+from graphproof.verdicts import (
     assertion_witness,
     declaration_witness,
     emit,
@@ -29,16 +33,15 @@ from graphproof.model import (
     fill,
     schema_witness,
     sort_key,
+    text,
     verdict,
+    when,
 )
-from graphproof.operators.compile import selectors_of
-from graphproof.operators.entity_rules import last_declarations
-from graphproof.operators.evidence import resolve_evidence
-from graphproof.session import Scratch
-from graphproof.skew import lookup_join
 
 PHASE = 5
 SEMANTIC_KEY = ["relation", "end_a", "end_b"]
+SUBJECT = fill(SUBJECT_ASSERTION, "src", "relation", "dst")
+SATISFIED, VIOLATED, UNKNOWN = map(text, (STATUS_SATISFIED, STATUS_VIOLATED, STATUS_UNKNOWN))
 
 
 def linked_edges(schema: GraphSchema, entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -124,64 +127,49 @@ def judge_edges(
     )
 
 
+def _at(step: int, sub: str = "0") -> str:
+    return sort_key(
+        PHASE, "src", "relation", "dst", "declaration", ord="decl_ordinal", step=step, sub=sub
+    )
+
+
 def edge_verdicts(judged: DataFrame) -> DataFrame:
     """Lookup, duplicate, domain, range, structure and missing-evidence verdicts."""
-    src, relation, dst = F.col("src"), F.col("relation"), F.col("dst")
-    subject = fill(SUBJECT_ASSERTION, src, relation, dst)
-    declared = declaration_witness(F.col("declaration"))
-    assertion = assertion_witness(src, relation, dst)
-    plain = [declared, assertion]
-
-    def key(step):
-        return sort_key(
-            PHASE, src, relation, dst, F.col("declaration"), ord=F.col("decl_ordinal"), step=step
-        )
+    plain = [declaration_witness("declaration"), assertion_witness()]
 
-    def row(status, code, message, witness, step):
-        return verdict(status, code, subject, message, witness, key(step))
+    def rule(condition, status, code, message, step, contract=None):
+        witness = plain if contract is None else [
+            schema_witness(fill(contract, "relation")), *plain
+        ]
+        return when(condition, verdict(status, code, SUBJECT, message, witness, _at(step)))
 
-    fault = F.col("fault")
     lookup_message = (
-        F.when(fault == "edge.missing_source", fill(MESSAGES["edge.missing_source"], src))
-        .when(fault == "edge.missing_target", fill(MESSAGES["edge.missing_target"], dst))
-        .otherwise(fill(MESSAGES["edge.unknown_relation"], relation))
+        f"CASE fault WHEN 'edge.missing_source' THEN {fill(MESSAGES['edge.missing_source'], 'src')}"
+        f" WHEN 'edge.missing_target' THEN {fill(MESSAGES['edge.missing_target'], 'dst')}"
+        f" ELSE {fill(MESSAGES['edge.unknown_relation'], 'relation')} END"
     )
     return emit(
         judged,
-        F.when(fault.isNotNull(), row(STATUS_VIOLATED, fault, lookup_message, plain, 0)),
-        F.when(
-            F.col("repeated"),
-            row(
-                STATUS_VIOLATED, "edge.duplicate_assertion",
-                MESSAGES["edge.duplicate_assertion"], plain, 0,
-            ),
+        rule("fault IS NOT NULL", VIOLATED, "fault", lookup_message, 0),
+        rule(
+            "repeated", VIOLATED, "'edge.duplicate_assertion'",
+            text(MESSAGES["edge.duplicate_assertion"]), 0,
         ),
-        F.when(
-            F.col("checked") & ~F.col("domain_ok"),
-            row(
-                STATUS_VIOLATED, "edge.domain_mismatch",
-                fill(MESSAGES["edge.domain_mismatch"], relation, "src_kind"),
-                [schema_witness(fill(PATH_RELATION_FROM, relation)), *plain], 1,
-            ),
+        rule(
+            "checked AND NOT domain_ok", VIOLATED, "'edge.domain_mismatch'",
+            fill(MESSAGES["edge.domain_mismatch"], "relation", "src_kind"), 1, PATH_RELATION_FROM,
         ),
-        F.when(
-            F.col("checked") & ~F.col("range_ok"),
-            row(
-                STATUS_VIOLATED, "edge.range_mismatch",
-                fill(MESSAGES["edge.range_mismatch"], relation, "dst_kind"),
-                [schema_witness(fill(PATH_RELATION_TO, relation)), *plain], 2,
-            ),
+        rule(
+            "checked AND NOT range_ok", VIOLATED, "'edge.range_mismatch'",
+            fill(MESSAGES["edge.range_mismatch"], "relation", "dst_kind"), 2, PATH_RELATION_TO,
         ),
-        F.when(
-            F.col("valid"),
-            row(
-                STATUS_SATISFIED, "edge.structure", MESSAGES["edge.structure"],
-                [schema_witness(fill(PATH_RELATION, relation)), *plain], 2,
-            ),
+        rule(
+            "valid", SATISFIED, "'edge.structure'", text(MESSAGES["edge.structure"]), 2,
+            PATH_RELATION,
         ),
-        F.when(
-            F.col("checked") & (F.coalesce(F.size("evidence"), F.lit(0)) <= 0),
-            row(STATUS_UNKNOWN, "edge.evidence", MESSAGES["edge.evidence"], plain, 3),
+        rule(
+            "checked AND coalesce(size(evidence), 0) <= 0", UNKNOWN, "'edge.evidence'",
+            text(MESSAGES["edge.evidence"]), 3,
         ),
     )
 
@@ -193,30 +181,15 @@ def evidence_verdicts(judged: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def evidence_verdict_rows(resolved: DataFrame) -> DataFrame:
-    src, relation, dst = F.col("src"), F.col("relation"), F.col("dst")
-    state = F.col("state")
-    status = (
-        F.when(state.isin(STATE_VALID, STATE_RELOCATED), F.lit(STATUS_SATISFIED))
-        .when(state == STATE_INVALID, F.lit(STATUS_VIOLATED))
-        .otherwise(F.lit(STATUS_UNKNOWN))
-    )
+    good = f"state IN ({text(STATE_VALID)}, {text(STATE_RELOCATED)})"
+    bad = f"state = {text(STATE_INVALID)}"
+    status = when(good, SATISFIED, when(bad, VIOLATED, UNKNOWN))
     code = (
-        F.when(state == STATE_VALID, F.lit("evidence.resolved"))
-        .when(state == STATE_RELOCATED, F.lit("evidence.relocated"))
-        .when(state == STATE_INVALID, F.lit("evidence.invalid"))
-        .otherwise(F.lit("evidence.unresolved"))
-    )
-    message = F.coalesce("message", F.lit(MESSAGES["evidence.resolved"]))
-    witness = [
-        declaration_witness(F.col("declaration")),
-        assertion_witness(src, relation, dst),
-        evidence_witness(
-            F.col("source"), state, F.col("exact"), F.col("start_line"), F.col("end_line")
-        ),
-    ]
-    key = sort_key(
-        PHASE, src, relation, dst, F.col("declaration"), ord=F.col("decl_ordinal"),
-        step=3, sub=F.col("sel_ordinal"),
+        f"CASE state WHEN {text(STATE_VALID)} THEN 'evidence.resolved' WHEN {text(STATE_RELOCATED)}"
+        f" THEN 'evidence.relocated' WHEN {text(STATE_INVALID)} THEN 'evidence.invalid'"
+        " ELSE 'evidence.unresolved' END"
     )
-    subject = fill(SUBJECT_ASSERTION, src, relation, dst)
-    return emit(resolved, verdict(status, code, subject, message, witness, key))
+    message = f"coalesce(message, {text(MESSAGES['evidence.resolved'])})"
+    witness = [declaration_witness("declaration"), assertion_witness(), evidence_witness()]
+    key = _at(3, sub="sel_ordinal")
+    return emit(resolved, verdict(status, code, SUBJECT, message, witness, key))

@@ -26,34 +26,36 @@ from graphproof.fixed_values import (
     SUBJECT_TYPE,
 )
 from graphproof.functions.text import accepts, is_machine_key, same_members
-from graphproof.model import GraphSchema, emit, fill, schema_witness, sort_key, verdict
+from graphproof.model import GraphSchema
+from graphproof.verdicts import emit, fill, schema_witness, sort_key, text, verdict, when
 
 PHASE_VERSION, PHASE_TYPES, PHASE_RELATIONS, PHASE_SHAPES = 0, 1, 2, 3
+SATISFIED, VIOLATED = text(STATUS_SATISFIED), text(STATUS_VIOLATED)
 
 
 def version_rule(schema: GraphSchema) -> DataFrame:
-    supported = F.col("version") == SCHEMA_VERSION
-    message = F.when(supported, fill(MESSAGES["schema.version"], "version")).otherwise(
-        fill(MESSAGES["schema.version.unsupported"], "version", F.lit(SCHEMA_VERSION))
+    supported = f"version = {SCHEMA_VERSION}"
+    message = when(
+        supported,
+        fill(MESSAGES["schema.version"], "version"),
+        fill(MESSAGES["schema.version.unsupported"], "version", str(SCHEMA_VERSION)),
     )
-    status = F.when(supported, F.lit(STATUS_SATISFIED)).otherwise(F.lit(STATUS_VIOLATED))
     return emit(
         schema.meta,
         verdict(
-            status, "schema.version", SUBJECT_SCHEMA, message,
-            [schema_witness(PATH_VERSION)], sort_key(PHASE_VERSION),
+            when(supported, SATISFIED, VIOLATED), "'schema.version'", text(SUBJECT_SCHEMA), message,
+            [schema_witness(text(PATH_VERSION))], sort_key(PHASE_VERSION),
         ),
     )
 
 
 def type_rules(schema: GraphSchema) -> DataFrame:
-    name = F.col("type")
     return emit(
-        schema.types.filter(~is_machine_key(name)),
+        schema.types.filter(~is_machine_key(F.col("type"))),
         verdict(
-            STATUS_VIOLATED, "type.invalid_name", fill(SUBJECT_TYPE, name),
-            MESSAGES["type.invalid_name"], [schema_witness(fill(PATH_TYPE, name))],
-            sort_key(PHASE_TYPES, name),
+            VIOLATED, "'type.invalid_name'", fill(SUBJECT_TYPE, "type"),
+            text(MESSAGES["type.invalid_name"]), [schema_witness(fill(PATH_TYPE, "type"))],
+            sort_key(PHASE_TYPES, "type"),
         ),
     )
 
@@ -61,97 +63,88 @@ def type_rules(schema: GraphSchema) -> DataFrame:
 def _undeclared(schema: GraphSchema) -> DataFrame:
     """Undeclared type names in the lists of each relation, kept with their position."""
     listed = schema.relations.select(
-        "relation", F.posexplode(F.concat("from", "to")).alias("at", "type")
+        "relation", F.posexplode(F.concat("from", "to")).alias("place", "type")
     ).filter(F.col("type") != "*")
     return listed.join(schema.types.select("type"), "type", "left_anti")
 
 
 def relation_rules(schema: GraphSchema) -> DataFrame:
-    name = F.col("relation")
-    subject = fill(SUBJECT_RELATION, name)
-    here = schema_witness(fill(PATH_RELATION, name))
-    empty_from, empty_to = F.size("from") == 0, F.size("to") == 0
-    checks = [
-        ("relation.invalid_name", ~is_machine_key(name), here),
-        ("relation.missing_domain", empty_from, schema_witness(fill(PATH_RELATION_FROM, name))),
-        ("relation.missing_range", empty_to, schema_witness(fill(PATH_RELATION_TO, name))),
-        ("relation.invalid_policy", F.col("symmetric") & F.col("acyclic"), here),
-        (
-            "relation.symmetric_type_mismatch",
-            F.col("symmetric") & ~empty_from & ~empty_to
-            & ~same_members(F.col("from"), F.col("to")),
-            here,
-        ),
+    subject = fill(SUBJECT_RELATION, "relation")
+    here = schema_witness(fill(PATH_RELATION, "relation"))
+    checks = {
+        "relation.invalid_name": here,
+        "relation.missing_domain": schema_witness(fill(PATH_RELATION_FROM, "relation")),
+        "relation.missing_range": schema_witness(fill(PATH_RELATION_TO, "relation")),
+        "relation.invalid_policy": here,
+        "relation.symmetric_type_mismatch": here,
+    }
+    no_from, no_to = F.size("from") == 0, F.size("to") == 0
+    flags = [
+        ~is_machine_key(F.col("relation")),
+        no_from,
+        no_to,
+        F.col("symmetric") & F.col("acyclic"),
+        F.col("symmetric") & ~no_from & ~no_to & ~same_members(F.col("from"), F.col("to")),
     ]
     unknown = _undeclared(schema)
-    flagged = schema.relations.join(
-        unknown.select("relation").distinct().withColumn("has_unknown", F.lit(True)),
-        "relation",
-        "left",
-    )
-    failed = F.coalesce("has_unknown", F.lit(False))
-    found = []
-    for step, (code, broken, witness) in enumerate(checks):
-        failed = failed | broken
-        found.append(
-            F.when(
-                broken,
-                verdict(
-                    STATUS_VIOLATED, code, subject, MESSAGES[code], [witness],
-                    sort_key(PHASE_RELATIONS, name, step=step),
-                ),
-            )
+    with_unknown = unknown.select("relation").distinct().withColumn("has_unknown", F.lit(True))
+    flagged = schema.relations.select(
+        "relation", *[flag.alias(f"broken_{i}") for i, flag in enumerate(flags)]
+    ).join(with_unknown, "relation", "left")
+
+    def broken(step: int, code: str, witness: str) -> str:
+        return when(
+            f"broken_{step}",
+            verdict(
+                VIOLATED, text(code), subject, text(MESSAGES[code]), [witness],
+                sort_key(PHASE_RELATIONS, "relation", step=step),
+            ),
         )
-    sound = F.when(
-        ~failed,
+
+    sound = when(
+        " AND ".join(["has_unknown IS NULL", *[f"NOT broken_{i}" for i in range(len(checks))]]),
         verdict(
-            STATUS_SATISFIED, "relation.contract", subject, MESSAGES["relation.contract"],
-            [here], sort_key(PHASE_RELATIONS, name, step=len(checks) + 1),
+            SATISFIED, "'relation.contract'", subject, text(MESSAGES["relation.contract"]), [here],
+            sort_key(PHASE_RELATIONS, "relation", step=len(checks) + 1),
         ),
     )
     per_type = emit(
         unknown,
         verdict(
-            STATUS_VIOLATED, "relation.unknown_type", subject,
+            VIOLATED, "'relation.unknown_type'", subject,
             fill(MESSAGES["relation.unknown_type"], "type"), [here],
-            sort_key(PHASE_RELATIONS, name, step=len(checks), sub=F.col("at")),
+            sort_key(PHASE_RELATIONS, "relation", step=len(checks), sub="place"),
         ),
     )
-    return emit(flagged, *found, sound).unionByName(per_type)
+    failures = [broken(i, code, witness) for i, (code, witness) in enumerate(checks.items())]
+    return emit(flagged, *failures, sound).unionByName(per_type)
 
 
 def shape_rules(schema: GraphSchema) -> DataFrame:
     known = schema.relations.select("relation", "from", F.lit(True).alias("declared"))
-    joined = schema.shapes.join(known, "relation", "left")
-    code = (
+    coded = schema.shapes.join(known, "relation", "left").withColumn(
+        "shape_code",
         F.when(F.col("declared").isNull(), F.lit("shape.unknown_relation"))
         .when(F.col("min").isNull() & F.col("max").isNull(), F.lit("shape.empty"))
         .when(F.col("min") > F.col("max"), F.lit("shape.invalid_range"))
         .when(~accepts(F.col("from"), F.col("type")), F.lit("shape.invalid_domain"))
-        .otherwise(F.lit("shape.contract"))
+        .otherwise(F.lit("shape.contract")),
     )
-    message = (
-        F.when(
-            F.col("code") == "shape.unknown_relation",
-            fill(MESSAGES["shape.unknown_relation"], "relation"),
+    values = {"shape.unknown_relation": ["relation"], "shape.invalid_domain": ["type", "relation"]}
+    branches = " ".join(
+        f"WHEN {text(code)} THEN {fill(MESSAGES[code], *values.get(code, []))}"
+        for code in (
+            "shape.unknown_relation", "shape.empty", "shape.invalid_range", "shape.invalid_domain",
+            "shape.contract",
         )
-        .when(F.col("code") == "shape.empty", F.lit(MESSAGES["shape.empty"]))
-        .when(F.col("code") == "shape.invalid_range", F.lit(MESSAGES["shape.invalid_range"]))
-        .when(
-            F.col("code") == "shape.invalid_domain",
-            fill(MESSAGES["shape.invalid_domain"], "type", "relation"),
-        )
-        .otherwise(F.lit(MESSAGES["shape.contract"]))
-    )
-    status = F.when(F.col("code") == "shape.contract", F.lit(STATUS_SATISFIED)).otherwise(
-        F.lit(STATUS_VIOLATED)
     )
     return emit(
-        joined.withColumn("code", code),
+        coded,
         verdict(
-            status, F.col("code"), fill(SUBJECT_SHAPE, "type", "relation"), message,
+            when("shape_code = 'shape.contract'", SATISFIED, VIOLATED), "shape_code",
+            fill(SUBJECT_SHAPE, "type", "relation"), f"CASE shape_code {branches} END",
             [schema_witness(fill(PATH_SHAPE, "type", "relation"))],
-            sort_key(PHASE_SHAPES, F.col("type"), F.col("relation")),
+            sort_key(PHASE_SHAPES, "type", "relation"),
         ),
     )
 
