@@ -15,7 +15,7 @@ from graphproof.fixed_values import (
 from graphproof.model import GraphSchema
 from graphproof.model import fill as fill_column
 from graphproof.skew import lookup_join
-from graphproof.verdicts import emit, fill, schema_witness, sort_key, text, verdict, when
+from graphproof.verdicts import Rule, emit, fill, text, when
 
 PHASE = 6
 
@@ -56,15 +56,12 @@ def cardinality_rules(
         fill(MESSAGES["shape.cardinality.violated"], "relation", "degree", expected),
         fill(MESSAGES["shape.cardinality.satisfied"], "relation", "degree"),
     )
-    return emit(
-        counted,
-        verdict(
-            when("broken", text(STATUS_VIOLATED), text(STATUS_SATISFIED)), "'shape.cardinality'",
-            fill(SUBJECT_COUNT, "id", "relation"), message,
-            [schema_witness(fill(PATH_SHAPE, "kind", "relation"))],
-            sort_key(PHASE, "id", "document", "relation"),
-        ),
+    rule = Rule(
+        "true", when("broken", text(STATUS_VIOLATED), text(STATUS_SATISFIED)),
+        "'shape.cardinality'", message, fill(PATH_SHAPE, "kind", "relation"),
     )
+    subject = fill(SUBJECT_COUNT, "id", "relation")
+    return emit(counted, [rule], subject, [], PHASE, ["id", "document", "relation"])
 
 
 def cardinality_assertions(

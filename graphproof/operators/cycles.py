@@ -21,7 +21,7 @@ from graphproof.fixed_values import (
 from graphproof.model import GraphSchema
 from graphproof.session import Scratch
 from graphproof.skew import hot_buckets, lookup_join
-from graphproof.verdicts import emit, fill, schema_witness, sort_key, text, verdict, when
+from graphproof.verdicts import Rule, emit, fill, text, when
 
 PHASE = 7
 STEPS_PER_BLOCK = 6
@@ -145,18 +145,13 @@ def cycle_verdicts(schema: GraphSchema, residual: DataFrame) -> DataFrame:
         .select("relation")
         .join(cyclic_relations(residual).withColumn("cyclic", F.lit(True)), "relation", "left")
     )
-    return emit(
-        checked,
-        verdict(
-            when("cyclic", text(STATUS_VIOLATED), text(STATUS_SATISFIED)),
-            when("cyclic", "'relation.cycle'", "'relation.acyclic'"),
-            fill(SUBJECT_RELATION, "relation"),
-            when(
-                "cyclic",
-                fill(MESSAGES["relation.cycle"], "relation"),
-                text(MESSAGES["relation.acyclic"]),
-            ),
-            [schema_witness(fill(PATH_RELATION_ACYCLIC, "relation"))],
-            sort_key(PHASE, "relation"),
+    rule = Rule(
+        "true",
+        when("cyclic", text(STATUS_VIOLATED), text(STATUS_SATISFIED)),
+        when("cyclic", "'relation.cycle'", "'relation.acyclic'"),
+        when(
+            "cyclic", fill(MESSAGES["relation.cycle"], "relation"), text(MESSAGES["relation.acyclic"])
         ),
+        fill(PATH_RELATION_ACYCLIC, "relation"),
     )
+    return emit(checked, [rule], fill(SUBJECT_RELATION, "relation"), [], PHASE, ["relation"])

@@ -18,20 +18,25 @@ from pyspark.sql import functions as F
 from graphproof.fixed_values import DECISION_ERRORS, DECISION_TASK, DECISION_VERSION
 from graphproof.model import fill
 from graphproof.operators.lookup import exact_matches, keyed_entities, needles_of
+from graphproof.session import Scratch
 from graphproof.skew import lookup_join
 
 SCOPE_EXACT, SCOPE_ALL = "exact", "all"
 INLINE_LIMIT = 1000
 
 
-def escalate(entities: DataFrame, lookups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def escalate(
+    entities: DataFrame, lookups: DataFrame, scratch: Scratch | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(requests, candidates)`` for the lookups that do not have exactly one exact match.
 
     ``requests``: ``query_id, text, needle, scope, exact_count``; ``candidates``: ``needle``,
     ``rank`` and entity columns for the needles with two or more exact matches.
     """
-    needles = needles_of(lookups)
-    exact = exact_matches(keyed_entities(entities), needles)
+    scratch = scratch or Scratch(entities.sparkSession, "escalate")
+    needles = scratch.write(needles_of(lookups), "needles")
+    keyed = scratch.write(keyed_entities(entities), "keyed")
+    exact = scratch.write(exact_matches(keyed, needles), "exact")
     counts = exact.groupBy("needle").agg(F.count(F.lit(1)).alias("exact_count"))
     requests = (
         needles.join(counts, "needle", "left")

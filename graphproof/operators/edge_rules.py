@@ -26,15 +26,13 @@ from graphproof.operators.evidence import resolve_evidence
 from graphproof.session import Scratch
 from graphproof.skew import lookup_join
 from graphproof.verdicts import (
+    Rule,
     assertion_witness,
     declaration_witness,
     emit,
     evidence_witness,
     fill,
-    schema_witness,
-    sort_key,
     text,
-    verdict,
     when,
 )
 
@@ -45,14 +43,15 @@ SATISFIED, VIOLATED, UNKNOWN = map(text, (STATUS_SATISFIED, STATUS_VIOLATED, STA
 
 
 def linked_edges(schema: GraphSchema, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the kinds of both ends, their relation's contract and the lookup ``fault``.
+    """Edges with the kinds of both ends, the lookup ``fault`` and whether the relation takes
+    these kinds (``from_ok``, ``to_ok``).
 
     ``end_a`` and ``end_b`` are the ends of the assertion as it counts for duplicates: in
     order for a symmetric relation, as declared otherwise.
     """
     kinds = last_declarations(entities).select("id", "kind")
     contract = schema.relations.select(
-        "relation", "from", "to", "symmetric", "acyclic", F.lit(True).alias("declared")
+        "relation", "from", "to", "symmetric", F.lit(True).alias("declared")
     )
     linked = lookup_join(
         edges, kinds.toDF("src", "src_kind"), ["src"],
@@ -62,45 +61,53 @@ def linked_edges(schema: GraphSchema, entities: DataFrame, edges: DataFrame) ->
         linked, kinds.toDF("dst", "dst_kind"), ["dst"],
         spread=["declaration", "decl_ordinal"], load=edges.select("dst"),
     )
-    linked = linked.join(contract, "relation", "left")
     fault = (
         F.when(F.col("src_kind").isNull(), F.lit("edge.missing_source"))
         .when(F.col("dst_kind").isNull(), F.lit("edge.missing_target"))
         .when(F.col("declared").isNull(), F.lit("edge.unknown_relation"))
     )
     swap = F.col("symmetric") & (F.col("src") > F.col("dst"))
-    return linked.withColumns(
-        {
-            "fault": fault,
-            "end_a": F.when(swap, F.col("dst")).otherwise(F.col("src")),
-            "end_b": F.when(swap, F.col("src")).otherwise(F.col("dst")),
-        }
-    ).drop("declared")
+    return linked.join(contract, "relation", "left").select(
+        *edges.columns, "src_kind", "dst_kind",
+        fault.alias("fault"),
+        F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("end_a"),
+        F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("end_b"),
+        accepts(F.col("from"), F.col("src_kind")).alias("from_ok"),
+        accepts(F.col("to"), F.col("dst_kind")).alias("to_ok"),
+    )
 
 
-def mark_duplicates(linked: DataFrame) -> DataFrame:
+def mark_duplicates(linked: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Add ``repeated``: a linked edge whose assertion was declared before, in edge order.
 
-    An aggregate finds the leading edge of each repeated assertion; copies collapse before its
-    shuffle. Edges then look their assertion up, with assertions of very many copies split.
+    A count per assertion finds the repeated ones; copies collapse before its shuffle. Only edges
+    of repeated assertions are compared for the leading one, and every edge then looks its assertion
+    up in the leaders. With ``scratch``, both small tables are written, so that their real size
+    decides how they are joined.
     """
-    repeats = (
-        linked.filter(F.col("fault").isNull())
-        .groupBy(*SEMANTIC_KEY)
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.min(F.struct("src", "dst", "declaration", "decl_ordinal")).alias("leader"),
+    keep = scratch.write if scratch is not None else lambda df, name: df
+    identity = ["src", "dst", "declaration", "decl_ordinal"]
+    sound = linked.filter(F.col("fault").isNull())
+    copies = keep(
+        sound.groupBy(*SEMANTIC_KEY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"),
+        "repeated_assertions",
+    )
+    spread = ["declaration", "decl_ordinal"]
+    leaders = keep(
+        lookup_join(
+            sound.select(*SEMANTIC_KEY, *identity), copies.select(*SEMANTIC_KEY), SEMANTIC_KEY,
+            spread=spread, how="inner", load=copies, weight="copies",
         )
-        .filter(F.col("copies") > 1)
+        .groupBy(*SEMANTIC_KEY)
+        .agg(F.min(F.struct(*identity)).alias("leader")),
+        "leading_assertions",
     )
-    marked = lookup_join(
-        linked, repeats, SEMANTIC_KEY, spread=["declaration", "decl_ordinal"],
-        load=repeats, weight="copies",
+    marked = lookup_join(linked, leaders, SEMANTIC_KEY, spread=spread, load=copies, weight="copies")
+    follows = (
+        F.col("fault").isNull() & F.col("leader").isNotNull() & (F.struct(*identity) != F.col("leader"))
     )
-    own = F.struct("src", "dst", "declaration", "decl_ordinal")
-    follows = F.col("fault").isNull() & F.col("leader").isNotNull() & (own != F.col("leader"))
     return marked.withColumn("repeated", F.coalesce(follows, F.lit(False))).drop(
-        "copies", "leader", "end_a", "end_b"
+        "leader", "end_a", "end_b"
     )
 
 
@@ -110,68 +117,56 @@ def judge_edges(
     """Edges with everything the edge rules decide: ``fault``, ``repeated``, ``domain_ok``,
     ``range_ok`` and ``valid`` (the edges that count for cardinality and cycles).
 
-    Linked edges are read twice (once to find repeats, once to mark them). With ``scratch`` they are
+    Linked edges are read several times to find and mark repeats. With ``scratch`` they are
     written in between, so the lookups of both ends run once.
     """
     linked = linked_edges(schema, entities, edges)
     if scratch is not None:
         linked = scratch.write(linked, "linked_edges")
-    marked = mark_duplicates(linked)
-    checked = F.col("fault").isNull() & ~F.col("repeated")
-    return (
-        marked.withColumn("checked", checked)
-        .withColumn("domain_ok", F.col("checked") & accepts(F.col("from"), F.col("src_kind")))
-        .withColumn("range_ok", F.col("checked") & accepts(F.col("to"), F.col("dst_kind")))
-        .withColumn("valid", F.col("domain_ok") & F.col("range_ok"))
-        .drop("from", "to")
-    )
-
-
-def _at(step: int, sub: str = "0") -> str:
-    return sort_key(
-        PHASE, "src", "relation", "dst", "declaration", ord="decl_ordinal", step=step, sub=sub
+    checked = "fault IS NULL AND NOT repeated"
+    return mark_duplicates(linked, scratch).select(
+        *edges.columns, "src_kind", "dst_kind", "fault", "repeated",
+        F.expr(f"{checked} AS checked"),
+        F.expr(f"{checked} AND from_ok AS domain_ok"),
+        F.expr(f"{checked} AND to_ok AS range_ok"),
+        F.expr(f"{checked} AND from_ok AND to_ok AS valid"),
     )
 
 
 def edge_verdicts(judged: DataFrame) -> DataFrame:
     """Lookup, duplicate, domain, range, structure and missing-evidence verdicts."""
-    plain = [declaration_witness("declaration"), assertion_witness()]
-
-    def rule(condition, status, code, message, step, contract=None):
-        witness = plain if contract is None else [
-            schema_witness(fill(contract, "relation")), *plain
-        ]
-        return when(condition, verdict(status, code, SUBJECT, message, witness, _at(step)))
-
     lookup_message = (
         f"CASE fault WHEN 'edge.missing_source' THEN {fill(MESSAGES['edge.missing_source'], 'src')}"
         f" WHEN 'edge.missing_target' THEN {fill(MESSAGES['edge.missing_target'], 'dst')}"
         f" ELSE {fill(MESSAGES['edge.unknown_relation'], 'relation')} END"
     )
-    return emit(
-        judged,
-        rule("fault IS NOT NULL", VIOLATED, "fault", lookup_message, 0),
-        rule(
+    rules = [
+        Rule("fault IS NOT NULL", VIOLATED, "fault", lookup_message),
+        Rule(
             "repeated", VIOLATED, "'edge.duplicate_assertion'",
-            text(MESSAGES["edge.duplicate_assertion"]), 0,
+            text(MESSAGES["edge.duplicate_assertion"]),
         ),
-        rule(
+        Rule(
             "checked AND NOT domain_ok", VIOLATED, "'edge.domain_mismatch'",
-            fill(MESSAGES["edge.domain_mismatch"], "relation", "src_kind"), 1, PATH_RELATION_FROM,
+            fill(MESSAGES["edge.domain_mismatch"], "relation", "src_kind"),
+            fill(PATH_RELATION_FROM, "relation"), 1,
         ),
-        rule(
+        Rule(
             "checked AND NOT range_ok", VIOLATED, "'edge.range_mismatch'",
-            fill(MESSAGES["edge.range_mismatch"], "relation", "dst_kind"), 2, PATH_RELATION_TO,
+            fill(MESSAGES["edge.range_mismatch"], "relation", "dst_kind"),
+            fill(PATH_RELATION_TO, "relation"), 2,
         ),
-        rule(
-            "valid", SATISFIED, "'edge.structure'", text(MESSAGES["edge.structure"]), 2,
-            PATH_RELATION,
+        Rule(
+            "valid", SATISFIED, "'edge.structure'", text(MESSAGES["edge.structure"]),
+            fill(PATH_RELATION, "relation"), 2,
         ),
-        rule(
+        Rule(
             "checked AND coalesce(size(evidence), 0) <= 0", UNKNOWN, "'edge.evidence'",
-            text(MESSAGES["edge.evidence"]), 3,
+            text(MESSAGES["edge.evidence"]), step=3,
         ),
-    )
+    ]
+    shared = [declaration_witness("declaration"), assertion_witness()]
+    return emit(judged, rules, SUBJECT, shared, PHASE, EDGE_KEY[:4], ord="decl_ordinal")
 
 
 def evidence_verdicts(judged: DataFrame, sources: DataFrame) -> DataFrame:
@@ -190,6 +185,8 @@ def evidence_verdict_rows(resolved: DataFrame) -> DataFrame:
         " ELSE 'evidence.unresolved' END"
     )
     message = f"coalesce(message, {text(MESSAGES['evidence.resolved'])})"
-    witness = [declaration_witness("declaration"), assertion_witness(), evidence_witness()]
-    key = _at(3, sub="sel_ordinal")
-    return emit(resolved, verdict(status, code, SUBJECT, message, witness, key))
+    shared = [declaration_witness("declaration"), assertion_witness(), evidence_witness()]
+    rule = Rule("true", status, code, message, step=3)
+    return emit(
+        resolved, [rule], SUBJECT, shared, PHASE, EDGE_KEY[:4], ord="decl_ordinal", sub="sel_ordinal"
+    )

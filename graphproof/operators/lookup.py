@@ -165,7 +165,8 @@ def lookup(
     """
     scratch = scratch or Scratch(entities.sparkSession, "lookup")
     needles = needles_of(lookups)
-    matches = all_matches(keyed_entities(entities), needles, scratch)
+    keyed = scratch.write(keyed_entities(entities), "keyed")
+    matches = all_matches(keyed, needles, scratch)
     if limit is None:
         ranked = matches.withColumn("position", F.lit(None).cast("int"))
     else:

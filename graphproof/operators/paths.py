@@ -98,9 +98,11 @@ def _least_hops(arcs, hot, depth: int, scratch: Scratch) -> None:
                 ends.select("start", "goal", F.col("node").alias("next"))
             )
         here = level_of.filter(F.col("level") == level).select("start", "node")
+        # Stepping forward again keeps to the small out-degrees; the hubs on the target side
+        # are never expanded.
         into = lookup_join(
-            arcs, arriving, ["next"], spread=["node", "declaration"], how="inner", hot=hot
-        ).join(here, ["start", "node"], "left_semi")
+            arcs, here, ["node"], spread=["next", "declaration"], how="inner", hot=hot
+        ).join(arriving, ["start", "next"])
         best = (
             into.groupBy("start", "goal", "node")
             .agg(F.min(F.struct("next", "relation", "declaration")).alias("hop"))
@@ -154,11 +156,10 @@ def shortest_paths(
         taken = spark.createDataFrame([], STEP)
     else:
         arcs = scratch.write(directed(schema, edges), "arcs")
-        outward = scratch.write(hot_buckets(arcs, ["node"]), "hot-out")
-        inward = scratch.write(hot_buckets(arcs, ["next"]), "hot-in")
+        outward = scratch.write(hot_buckets(arcs, ["node"]), "hot")
         depth = _search(arcs, outward, goals, scratch)
         found = scratch.read_levels("found", 1, depth, "start string, goal string, level int")
-        _least_hops(arcs, inward, depth, scratch)
+        _least_hops(arcs, outward, depth, scratch)
         _walk(found, depth, scratch)
         taken = scratch.read_levels("path", 0, depth - 1, STEP)
 

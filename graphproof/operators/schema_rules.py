@@ -27,7 +27,7 @@ from graphproof.fixed_values import (
 )
 from graphproof.functions.text import accepts, is_machine_key, same_members
 from graphproof.model import GraphSchema
-from graphproof.verdicts import emit, fill, schema_witness, sort_key, text, verdict, when
+from graphproof.verdicts import Rule, emit, fill, text, when
 
 PHASE_VERSION, PHASE_TYPES, PHASE_RELATIONS, PHASE_SHAPES = 0, 1, 2, 3
 SATISFIED, VIOLATED = text(STATUS_SATISFIED), text(STATUS_VIOLATED)
@@ -40,24 +40,20 @@ def version_rule(schema: GraphSchema) -> DataFrame:
         fill(MESSAGES["schema.version"], "version"),
         fill(MESSAGES["schema.version.unsupported"], "version", str(SCHEMA_VERSION)),
     )
-    return emit(
-        schema.meta,
-        verdict(
-            when(supported, SATISFIED, VIOLATED), "'schema.version'", text(SUBJECT_SCHEMA), message,
-            [schema_witness(text(PATH_VERSION))], sort_key(PHASE_VERSION),
-        ),
+    rule = Rule(
+        "true", when(supported, SATISFIED, VIOLATED), "'schema.version'", message,
+        text(PATH_VERSION),
     )
+    return emit(schema.meta, [rule], text(SUBJECT_SCHEMA), [], PHASE_VERSION, [])
 
 
 def type_rules(schema: GraphSchema) -> DataFrame:
-    return emit(
-        schema.types.filter(~is_machine_key(F.col("type"))),
-        verdict(
-            VIOLATED, "'type.invalid_name'", fill(SUBJECT_TYPE, "type"),
-            text(MESSAGES["type.invalid_name"]), [schema_witness(fill(PATH_TYPE, "type"))],
-            sort_key(PHASE_TYPES, "type"),
-        ),
+    rule = Rule(
+        "true", VIOLATED, "'type.invalid_name'", text(MESSAGES["type.invalid_name"]),
+        fill(PATH_TYPE, "type"),
     )
+    bad = schema.types.filter(~is_machine_key(F.col("type")))
+    return emit(bad, [rule], fill(SUBJECT_TYPE, "type"), [], PHASE_TYPES, ["type"])
 
 
 def _undeclared(schema: GraphSchema) -> DataFrame:
@@ -70,11 +66,11 @@ def _undeclared(schema: GraphSchema) -> DataFrame:
 
 def relation_rules(schema: GraphSchema) -> DataFrame:
     subject = fill(SUBJECT_RELATION, "relation")
-    here = schema_witness(fill(PATH_RELATION, "relation"))
+    here = fill(PATH_RELATION, "relation")
     checks = {
         "relation.invalid_name": here,
-        "relation.missing_domain": schema_witness(fill(PATH_RELATION_FROM, "relation")),
-        "relation.missing_range": schema_witness(fill(PATH_RELATION_TO, "relation")),
+        "relation.missing_domain": fill(PATH_RELATION_FROM, "relation"),
+        "relation.missing_range": fill(PATH_RELATION_TO, "relation"),
         "relation.invalid_policy": here,
         "relation.symmetric_type_mismatch": here,
     }
@@ -92,32 +88,24 @@ def relation_rules(schema: GraphSchema) -> DataFrame:
         "relation", *[flag.alias(f"broken_{i}") for i, flag in enumerate(flags)]
     ).join(with_unknown, "relation", "left")
 
-    def broken(step: int, code: str, witness: str) -> str:
-        return when(
-            f"broken_{step}",
-            verdict(
-                VIOLATED, text(code), subject, text(MESSAGES[code]), [witness],
-                sort_key(PHASE_RELATIONS, "relation", step=step),
-            ),
+    rules = [
+        Rule(f"broken_{i}", VIOLATED, text(code), text(MESSAGES[code]), path, i)
+        for i, (code, path) in enumerate(checks.items())
+    ]
+    sound = " AND ".join(["has_unknown IS NULL", *[f"NOT broken_{i}" for i in range(len(checks))]])
+    rules.append(
+        Rule(
+            sound, SATISFIED, "'relation.contract'", text(MESSAGES["relation.contract"]), here,
+            len(checks) + 1,
         )
-
-    sound = when(
-        " AND ".join(["has_unknown IS NULL", *[f"NOT broken_{i}" for i in range(len(checks))]]),
-        verdict(
-            SATISFIED, "'relation.contract'", subject, text(MESSAGES["relation.contract"]), [here],
-            sort_key(PHASE_RELATIONS, "relation", step=len(checks) + 1),
-        ),
     )
-    per_type = emit(
-        unknown,
-        verdict(
-            VIOLATED, "'relation.unknown_type'", subject,
-            fill(MESSAGES["relation.unknown_type"], "type"), [here],
-            sort_key(PHASE_RELATIONS, "relation", step=len(checks), sub="place"),
-        ),
+    per_type = Rule(
+        "true", VIOLATED, "'relation.unknown_type'", fill(MESSAGES["relation.unknown_type"], "type"),
+        here, len(checks),
+    )
+    return emit(flagged, rules, subject, [], PHASE_RELATIONS, ["relation"]).unionByName(
+        emit(unknown, [per_type], subject, [], PHASE_RELATIONS, ["relation"], sub="place")
     )
-    failures = [broken(i, code, witness) for i, (code, witness) in enumerate(checks.items())]
-    return emit(flagged, *failures, sound).unionByName(per_type)
 
 
 def shape_rules(schema: GraphSchema) -> DataFrame:
@@ -138,15 +126,12 @@ def shape_rules(schema: GraphSchema) -> DataFrame:
             "shape.contract",
         )
     )
-    return emit(
-        coded,
-        verdict(
-            when("shape_code = 'shape.contract'", SATISFIED, VIOLATED), "shape_code",
-            fill(SUBJECT_SHAPE, "type", "relation"), f"CASE shape_code {branches} END",
-            [schema_witness(fill(PATH_SHAPE, "type", "relation"))],
-            sort_key(PHASE_SHAPES, "type", "relation"),
-        ),
+    rule = Rule(
+        "true", when("shape_code = 'shape.contract'", SATISFIED, VIOLATED), "shape_code",
+        f"CASE shape_code {branches} END", fill(PATH_SHAPE, "type", "relation"),
     )
+    subject = fill(SUBJECT_SHAPE, "type", "relation")
+    return emit(coded, [rule], subject, [], PHASE_SHAPES, ["type", "relation"])
 
 
 def schema_rules(schema: GraphSchema) -> DataFrame:

@@ -10,32 +10,30 @@ Copies of the lookup side are bounded as well: over all buckets there are at mos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 SPLITS = 1024
 
 
-def _bucket(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+def _names(columns: list[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
+
+def _bucket(keys: list[str]) -> str:
+    return f"CAST(pmod(xxhash64({_names(keys)}), {BUCKETS}) AS INT) AS hot_bucket"
 
 
 def hot_buckets(load: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Buckets of ``keys`` that hold over two shares (1/SPLITS) of all rows, with salt counts."""
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = load.groupBy(_bucket(keys).alias("hot_bucket")).agg(amount.alias("n"))
-    total = counts.agg(
-        F.sum("n").alias("total"),
-        F.collect_list(F.struct("hot_bucket", "n")).alias("buckets"),
-    )
+    amount = f"sum(`{weight}`)" if weight else "count(1)"
+    counts = load.groupBy(F.expr(_bucket(keys))).agg(F.expr(f"{amount} AS n"))
+    total = counts.agg(F.expr("sum(n) AS total"), F.expr("collect_list(struct(hot_bucket, n)) AS b"))
     return (
-        total.select("total", F.inline("buckets"))
-        .filter(F.col("n") * SPLITS > F.col("total") * 2)
-        .select(
-            "hot_bucket",
-            F.ceil(F.col("n") * SPLITS / F.col("total")).cast("int").alias("hot_salts"),
-        )
+        total.selectExpr("total", "inline(b)")
+        .filter(f"n * {SPLITS} > total * 2")
+        .selectExpr("hot_bucket", f"CAST(ceil(n * {SPLITS} / total) AS INT) AS hot_salts")
     )
 
 
@@ -60,24 +58,19 @@ def lookup_join(
         hot = hot_buckets(fact if load is None else load, on, weight)
     hot = F.broadcast(hot)
 
+    fact_columns = [f"`{c}`" for c in fact.columns]
+    lookup_columns = [f"`{c}`" for c in lookup.columns]
     salted_fact = (
-        fact.withColumn("hot_bucket", _bucket(on))
+        fact.selectExpr("*", _bucket(on))
         .join(hot, "hot_bucket", "left")
-        .withColumn(
-            "salt",
-            F.when(F.col("hot_salts").isNull(), F.lit(0)).otherwise(
-                F.pmod(F.xxhash64(*spread), F.col("hot_salts")).cast("int")
-            ),
+        .selectExpr(
+            *fact_columns,
+            f"coalesce(CAST(pmod(xxhash64({_names(spread)}), hot_salts) AS INT), 0) AS salt",
         )
-        .drop("hot_bucket", "hot_salts")
     )
     salted_lookup = (
-        lookup.withColumn("hot_bucket", _bucket(on))
+        lookup.selectExpr("*", _bucket(on))
         .join(hot, "hot_bucket", "left")
-        .withColumn(
-            "salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot_salts"), F.lit(1)) - 1)),
-        )
-        .drop("hot_bucket", "hot_salts")
+        .selectExpr(*lookup_columns, "explode(sequence(0, coalesce(hot_salts, 1) - 1)) AS salt")
     )
     return salted_fact.join(salted_lookup, on + ["salt"], how).drop("salt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphproof.functions.text import lookup_key, newlines, normalize_text
@@ -38,14 +38,14 @@ def flat(verdicts: DataFrame) -> DataFrame:
     """Verdicts with the witness list as one text."""
     fields = ["kind", "path", "from", "relation", "to", "source", "state", "exact"]
 
-    def line(w: Column) -> Column:
-        return F.concat_ws(
-            ">", *[w[f] for f in fields], w["start_line"].cast("string"), w["end_line"].cast("string")
-        )
+    def line(i: int) -> str:
+        parts = [f"get(witness, {i}).`{f}`" for f in fields]
+        parts += [f"CAST(get(witness, {i}).{f} AS STRING)" for f in ("start_line", "end_line")]
+        return f"nullif(concat_ws('>', {', '.join(parts)}), '')"
 
-    return verdicts.select(
+    return verdicts.selectExpr(
         "status", "code", "subject", "message",
-        F.array_join(F.transform("witness", line), " | ").alias("witness"),
+        f"concat_ws(' | ', {line(0)}, {line(1)}, {line(2)}) AS witness",
     )
 
 

@@ -104,10 +104,10 @@ def _event_types(spark, folder) -> DataFrame:
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return _union(frames[:half]).unionByName(_union(frames[half:]))
 
 
 def entities(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Builders for verdict rows.
 
-A verdict is one struct expression over named columns. Expressions are put together as SQL text
-and parsed once per rule set, which keeps planning short on the driver; what runs is generated
-code over the columns.
+A rule set is applied in two steps: each row is first unnested into the numbers of the rules that
+fire on it, then the verdict columns are chosen by that number. Each column is built once per
+verdict, which keeps the generated code small enough to be compiled. Expressions are put together as SQL
+text and parsed once per rule set, which keeps planning short on the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _WITNESS_FIELDS = {
     "kind": "string", "path": "string", "from": "string", "relation": "string", "to": "string",
@@ -68,35 +70,79 @@ def evidence_witness() -> str:
     return _struct(_WITNESS_FIELDS, {"kind": "'evidence'", **{f: f for f in fields}})
 
 
-def sort_key(phase: int, *keys: str, ord: str = "0", step: int = 0, sub: str = "0") -> str:
-    """Position of a verdict in the report: phase first, then natural keys."""
-    given = {f"k{i + 1}": key for i, key in enumerate(keys)}
-    return _struct(
-        _KEY_FIELDS, {"phase": str(phase), "ord": ord, "step": str(step), "sub": sub, **given}
-    )
-
-
-def verdict(
-    status: str, code: str, subject: str, message: str, witness: list[str], key: str
-) -> str:
-    """One verdict as a struct expression."""
-    return (
-        f"named_struct('status', {status}, 'code', {code}, 'subject', {subject}, "
-        f"'message', {message}, 'witness', array({', '.join(witness)}), 'sort_key', {key})"
-    )
-
-
 def when(condition: str, then: str, otherwise: str | None = None) -> str:
     return f"CASE WHEN {condition} THEN {then}" + (f" ELSE {otherwise} END" if otherwise else " END")
 
 
-def emit(df: DataFrame, *candidates: str) -> DataFrame:
-    """Rows of every non-null verdict among ``candidates``, in one pass over ``df``.
+@dataclass(frozen=True)
+class Rule:
+    """One rule: where it fires and what its verdict says. All but ``step`` is SQL text.
+
+    ``path`` is the schema path of the leading witness, if the rule has one.
+    """
 
-    Null candidates become null rows that the filter drops; unlike filtering the array before
-    it is unnested, all of it runs as generated code.
+    condition: str
+    status: str
+    code: str
+    message: str
+    path: str | None = None
+    step: int = 0
+
+
+def _chosen(values: list[str]) -> str:
+    """The value of the rule numbered by the column ``rule``; equal values are stated once."""
+    numbers: dict[str, list[str]] = {}
+    for number, value in enumerate(values):
+        numbers.setdefault(value, []).append(str(number))
+    if len(numbers) == 1:
+        return values[0]
+    branches = [f"WHEN rule IN ({', '.join(n)}) THEN {value}" for value, n in numbers.items()]
+    return f"CASE {' '.join(branches)} END"
+
+
+def emit(
+    df: DataFrame,
+    rules: list[Rule],
+    subject: str,
+    witness: list[str],
+    phase: int,
+    keys: list[str],
+    ord: str = "0",
+    sub: str = "0",
+) -> DataFrame:
+    """Verdicts of ``rules`` on the rows of ``df``, in one pass.
+
+    ``witness`` lists the witnesses that all verdicts share; a rule's schema path comes before
+    them. ``phase``, ``keys``, ``ord``, the rule's step and ``sub`` place a verdict in the report.
     """
-    return df.select(F.expr(f"inline(array({', '.join(candidates)}))")).filter("code IS NOT NULL")
+    if len(rules) == 1 and rules[0].condition == "true":
+        fired = df.selectExpr("*", "0 AS rule")
+    else:
+        numbers = ", ".join(when(r.condition, str(i)) for i, r in enumerate(rules))
+        fired = df.selectExpr("*", f"explode(array({numbers})) AS rule").filter("rule IS NOT NULL")
+    placed = {
+        "phase": str(phase), "ord": ord, "step": _chosen([str(r.step) for r in rules]), "sub": sub,
+        **{f"k{i + 1}": key for i, key in enumerate(keys)},
+    }
+    chosen = fired.selectExpr(
+        f"{_chosen([r.status for r in rules])} AS status",
+        f"{_chosen([r.code for r in rules])} AS code",
+        f"{subject} AS subject",
+        f"{_chosen([r.message for r in rules])} AS message",
+        f"CAST({_chosen([r.path or 'NULL' for r in rules])} AS STRING) AS schema_path",
+        f"array({', '.join(witness)}) AS shared" if witness else "NULL AS shared",
+        f"{_struct(_KEY_FIELDS, placed)} AS sort_key",
+    )
+    contract = f"array({schema_witness('schema_path')})"
+    if all(r.path is None for r in rules):
+        whole = "shared"
+    elif not witness:
+        whole = contract
+    else:
+        whole = when("schema_path IS NULL", "shared", f"concat({contract}, shared)")
+    return chosen.selectExpr(
+        "status", "code", "subject", "message", f"{whole} AS witness", "sort_key"
+    )
 
 
 def ordered(verdicts: DataFrame) -> DataFrame:
