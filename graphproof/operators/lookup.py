@@ -1,9 +1,10 @@
 """Entity lookup for many needles at once.
 
 Exact matches are an equi-join on normalized keys. Substring matches are found through an
-anchor: of the three-letter grams of a needle the one that the fewest entities have. Entities are
-joined with the anchors on the gram and the full containment is verified on the joined row,
-so no needle meets an entity that lacks its rarest gram.
+anchor: of the grams of a needle (six letters, three for needles under six, the needle itself
+under three) the one that the fewest entities have. Entities are joined with the anchors on the gram
+and the full containment is verified on the joined row, so no needle meets an entity that lacks its
+rarest gram.
 """
 
 from __future__ import annotations
@@ -17,20 +18,19 @@ from graphproof.functions.text import lookup_key, lookup_keys
 from graphproof.session import Scratch
 from graphproof.skew import lookup_join
 
-GRAM = 3
 ENTITY = ["id", "kind", "title", "aliases", "document"]
-KEYS = ["id_key", "title_key", "alias_keys"]
+KEYS = ["id_key", "title_key", "alias_keys", "key_text"]
 ROW = ["id", "document"]
 
 
 def keyed_entities(entities: DataFrame) -> DataFrame:
-    """Entities with their keys in comparable form."""
+    """Entities with their keys in comparable form; ``key_text`` holds all of them as lines."""
     return entities.select(
         *ENTITY,
         lookup_key(F.col("id")).alias("id_key"),
         lookup_key(F.col("title")).alias("title_key"),
         lookup_keys(F.col("aliases")).alias("alias_keys"),
-    )
+    ).withColumn("key_text", F.concat_ws("\n", "id_key", "title_key", "alias_keys"))
 
 
 def needles_of(lookups: DataFrame) -> DataFrame:
@@ -65,26 +65,17 @@ def exact_matches(keyed: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column, size: Column | int) -> Column:
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.length(text) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda at: F.substr(text, at, size))
+def _grams(text: Column, size: Column) -> Column:
+    """All distinct substrings of ``size`` characters (overlapping, found by lookahead)."""
+    pattern = F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))"))
+    return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
 
 
 def _entity_grams(keyed: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row per entity row and distinct gram of its keys."""
-    texts = F.concat(F.array("id_key", "title_key"), F.col("alias_keys"))
-
-    def of_size(size: int) -> Column:
-        return F.flatten(F.transform(texts, lambda text: _grams(text, size)))
-
-    grams = [of_size(size) for size in sizes]
-    return keyed.select(
-        *ENTITY, *KEYS, F.explode(F.array_distinct(F.concat(*grams))).alias("gram")
-    )
+    """One row per entity row and distinct gram of its keys. Grams that span two keys add rows
+    that the containment check drops."""
+    grams = F.flatten(F.array(*[_grams(F.col("key_text"), F.lit(size)) for size in sizes]))
+    return keyed.select(*ENTITY, *KEYS, F.explode(grams).alias("gram"))
 
 
 def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataFrame:
@@ -92,24 +83,35 @@ def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataF
     wanted = scratch.write(
         needles.filter(F.col("needle") != "").select("needle").distinct(), "needles"
     )
-    length = F.least(F.length("needle"), F.lit(GRAM))
-    sizes = [r[0] for r in wanted.select(length.alias("size")).distinct().collect()] or [GRAM]
+    length = F.length("needle")
+    size = F.when(length >= 6, F.lit(6)).when(length >= 3, F.lit(3)).otherwise(length)
+    sizes = [r[0] for r in wanted.select(size.alias("size")).distinct().collect()] or [1]
     grams = _entity_grams(keyed, sizes)
 
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    options = wanted.select(
-        "needle", F.explode(F.array_distinct(_grams(F.col("needle"), length))).alias("gram")
-    ).join(common, "gram", "left")
+    options = scratch.write(
+        wanted.select(
+            "needle", F.explode(_grams(F.col("needle"), size)).alias("gram")
+        ),
+        "needle_grams",
+    )
+    common = (
+        grams.select("gram")
+        .join(options.select("gram").distinct(), "gram", "left_semi")
+        .groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     anchors = scratch.write(
-        options.groupBy("needle")
+        options.join(common, "gram", "left")
+        .groupBy("needle")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-        .select("needle", "best.gram", "best.n"),
+        .select("needle", "best.gram", "best.n")
+        .filter(F.col("n") > 0),
         "anchors",
     )
     met = lookup_join(
         grams, anchors.select("gram", "needle"), ["gram"], spread=ROW, how="inner",
         load=anchors.select("gram", "n").distinct(), weight="n",
-    )
+    ).filter(F.contains(F.col("key_text"), F.col("needle")))
     needle = F.col("needle")
     inside = (
         F.contains(F.col("id_key"), needle)
