@@ -39,7 +39,7 @@ def escalate(
     exact = scratch.write(exact_matches(keyed, needles), "exact")
     counts = exact.groupBy("needle").agg(F.count(F.lit(1)).alias("exact_count"))
     requests = (
-        needles.join(counts, "needle", "left")
+        lookup_join(needles, counts, ["needle"], spread=["query_id"])
         .withColumn("exact_count", F.coalesce("exact_count", F.lit(0)))
         .filter(F.col("exact_count") != 1)
         .select(
@@ -51,7 +51,10 @@ def escalate(
         )
     )
     crowded = counts.filter(F.col("exact_count") > 1).select("needle")
-    candidates = exact.join(crowded, "needle", "left_semi")
+    candidates = lookup_join(
+        exact, crowded, ["needle"], spread=["id", "document"], how="left_semi",
+        load=counts, weight="exact_count",
+    )
     return requests, candidates
 
 
@@ -79,7 +82,7 @@ def build_requests(
         shape,
     )
     inlined = sized.groupBy("needle").agg(packed.alias("listed"))
-    out = requests.join(inlined, "needle", "left")
+    out = lookup_join(requests, inlined, ["needle"], spread=["query_id"])
 
     few = entities.limit(inline_limit + 1)
     if few.count() <= inline_limit:
@@ -206,7 +209,7 @@ def check_answers(
     any_row = entities.groupBy(F.col("id").alias("entity_id")).agg(
         F.min(F.struct("document", "kind", "title")).alias("all_pick")
     )
-    located = asked.join(chosen, ["needle", "entity_id"], "left")
+    located = lookup_join(asked, chosen, ["needle", "entity_id"], spread=["query_id"])
     located = lookup_join(
         located, any_row, ["entity_id"], spread=["query_id"], load=read.select("entity_id")
     )

@@ -166,13 +166,19 @@ def lookup(
     searched and ranked once.
     """
     scratch = scratch or Scratch(entities.sparkSession, "lookup")
-    needles = needles_of(lookups)
+    needles = scratch.write(needles_of(lookups), "asked")
     keyed = scratch.write(keyed_entities(entities), "keyed")
     matches = all_matches(keyed, needles, scratch)
     if limit is None:
-        ranked = matches.withColumn("position", F.lit(None).cast("int"))
+        unplaced = matches.withColumn("position", F.lit(None).cast("int"))
+        ranked = scratch.write(unplaced, "matches")
     else:
         ranked = _best(matches, limit)
-    return needles.select("query_id", "needle").join(ranked, "needle").select(
+    asked = needles.select("query_id", "needle")
+    if limit is None:  # any number of matches per needle
+        answered = lookup_join(ranked, asked, ["needle"], spread=ROW, how="inner")
+    else:  # any number of queries per needle
+        answered = lookup_join(asked, ranked, ["needle"], spread=["query_id"], how="inner")
+    return answered.select(
         "query_id", match_kind(F.col("rank")).alias("match"), "rank", "position", *ENTITY
     )

@@ -35,11 +35,13 @@ STEP = (
 def check_pairs(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs ``(request_id, from, to)`` with ``error`` set where an end is unknown."""
     known = entities.select("id").distinct()
-    with_start = pairs.join(
-        known.select(F.col("id").alias("from"), F.lit(True).alias("has_from")), "from", "left"
+    with_start = lookup_join(
+        pairs, known.select(F.col("id").alias("from"), F.lit(True).alias("has_from")), ["from"],
+        spread=["request_id"],
     )
-    with_both = with_start.join(
-        known.select(F.col("id").alias("to"), F.lit(True).alias("has_to")), "to", "left"
+    with_both = lookup_join(
+        with_start, known.select(F.col("id").alias("to"), F.lit(True).alias("has_to")), ["to"],
+        spread=["request_id"], load=pairs.select("to"),
     )
     error = F.when(F.col("has_from").isNull(), fill(UNKNOWN_ENTITY, "from")).when(
         F.col("has_to").isNull(), fill(UNKNOWN_ENTITY, "to")
