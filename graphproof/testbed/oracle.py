@@ -623,6 +623,13 @@ def _rules() -> dict[str, str]:
         "schema_rules": SCHEMA_RULES,
         "entity_rules": _with(SCHEMA, FAULTY_ENTITIES, ENTITY_VERDICTS)
         + f"SELECT {_COLUMNS} FROM entity_verdicts",
+        "report_json": _with(SCHEMA, FAULTY_ENTITIES, ENTITY_VERDICTS) + """
+          SELECT concat('{"status":"', status, '","code":"', code, '","subject":"', subject,
+            '","message":"', message, '","witness":[',
+            CASE WHEN starts_with(witness, 'schema>') THEN concat('{"kind":"schema","path":"',
+              split_part(split_part(witness, ' | ', 1), '>', 2), '"},') ELSE '' END,
+            '{"kind":"declaration","path":"', split_part(witness, 'declaration>', 2), '"}]}') AS json
+          FROM entity_verdicts""",
         "edge_rules": edge_rules + f"SELECT {_COLUMNS} FROM edge_verdicts",
         "open_verdicts": edge_rules
         + f"SELECT {_COLUMNS} FROM edge_verdicts WHERE status <> 'satisfied'",

@@ -30,7 +30,7 @@ from graphproof.operators.summary import open_verdicts, summarize
 from graphproof.plans.validation import ValidationReport, validate
 from graphproof.session import Scratch
 from graphproof.sources.frontmatter import parse_documents
-from graphproof.sources.report import to_json_rows
+from graphproof.sources.report import verdict_json
 from graphproof.testbed import tables as tb
 
 
@@ -314,7 +314,7 @@ def open_verdicts_query(spark, folder):
 
 def report_json(spark, folder):
     verdicts = entity_rules(tb.schema(spark), tb.entities_with_faults(spark, folder))
-    return to_json_rows(verdicts.drop("sort_key"))
+    return verdicts.select(verdict_json().alias("json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
