@@ -30,11 +30,15 @@ NEEDS_COMPOSING = f"[^{_COMPOSED_RANGES}]"
 
 @F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
+    if texts.isna().all():  # nothing in this batch needs composing
+        return texts
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _compose_each(lists: pd.Series) -> pd.Series:
+    if lists.isna().all():
+        return lists
     return lists.map(
         lambda texts: [None if t is None else unicodedata.normalize("NFC", t) for t in texts],
         na_action="ignore",
