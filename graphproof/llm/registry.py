@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import mixing
+from graphproof.llm import exact_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_mix_sources": mixing.op6_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
     }
