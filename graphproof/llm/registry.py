@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import exact_dedup, mixing
+from graphproof.llm import exact_dedup, mixing, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_pii": pii.op4_pii,
         "op6_mix_sources": mixing.op6_mix_sources,
     }
 
