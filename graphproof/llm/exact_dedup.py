@@ -31,6 +31,7 @@ _INBOX = "digest string, doc_id long, _llm_file string, _llm_row long"
 _PLACE = ["_llm_file", "_llm_row"]
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
