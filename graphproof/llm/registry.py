@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import exact_dedup, mixing, pii, token_counts, toxicity
+from graphproof.llm import exact_dedup, mixing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_pii": pii.op4_pii,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_quality": quality.op7_quality,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_token_counts": token_counts.op10_token_counts,
     }
