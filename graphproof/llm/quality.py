@@ -1,7 +1,7 @@
 """Quality: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text is a bag of hashed terms: byte trigrams, trigrams of its character-class runs, and the
-count of words that repeat the word before. Bags are log-scaled, weighted by inverse document
+A text is a bag of hashed terms: byte trigrams, trigrams of its character-class runs, and a term for
+each share of ``REPEATS`` that its words repeating the word before them reach. Bags are log-scaled, weighted by inverse document
 frequency and projected on the leading right singular vectors of a labelled sample (latent
 semantic analysis). The sample has at most ``TRAIN_ROWS`` expected rows, so its vectors are a
 bounded broadcast. Every document is compared with all of them: blocks of documents by exact cosine
@@ -35,9 +35,10 @@ NEIGHBOURS = 15
 DIMENSIONS = 64
 #: Weights fall with similarity to this power.
 SHARPNESS = 4
-#: Hash buckets of byte trigrams and of class trigrams; the last term is the repeated word.
+#: Hash buckets of byte trigrams and of class trigrams; the last terms are the shares of repeated words.
 BYTES, CLASSES = 2048, 256
-TERMS = BYTES + CLASSES + 1
+REPEATS = np.array([0.05, 0.15, 0.4, 0.7])
+TERMS = BYTES + CLASSES + len(REPEATS)
 BLOCK = 512
 
 
@@ -72,7 +73,8 @@ def bag(text: str) -> np.ndarray:
     runs = kinds[np.flatnonzero(np.diff(kinds, prepend=np.uint32(0)))]
     words = text.split()
     again = sum(map(operator.eq, words, words[1:]))
-    return np.log1p(np.concatenate([_hashed(b.astype(np.uint32), BYTES), _hashed(runs, CLASSES), np.float32([again])]))
+    repeats = np.where(again >= REPEATS * max(1, len(words)), again, 0).astype(np.float32)
+    return np.log1p(np.concatenate([_hashed(b.astype(np.uint32), BYTES), _hashed(runs, CLASSES), repeats]))
 
 
 @dataclasses.dataclass(frozen=True)
