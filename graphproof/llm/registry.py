@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import exact_dedup, mixing, pii, quality, token_counts, toxicity
+from graphproof.llm import exact_dedup, jaccard_join, mixing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_quality": quality.op7_quality,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
