@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import exact_dedup, jaccard_join, mixing, pii, quality, token_counts, toxicity
+from graphproof.llm import exact_dedup, jaccard_join, mixing, pii, quality, sentencepiece_fst, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op4_pii": pii.op4_pii,
+        "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_quality": quality.op7_quality,
         "op8_toxicity": toxicity.op8_toxicity,
