@@ -33,7 +33,7 @@ import heapq
 import itertools
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,8 @@ CHUNK_ROWS = 1_500_000
 TILE = 500
 #: Weight of DivideSkip's choice how many lists are long.
 LONG_LISTS = 0.02
-_ROWS = "kind byte, key long, doc long, other long"
-_SEGMENT, _PAIR, _LINK, _SIZE = range(4)
+ROWS = "kind byte, key long, doc long, other long"
+SEGMENT, PAIR, LINK, SIZE = range(4)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -124,7 +124,7 @@ def segment_hashes(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.n
     return keys, np.concatenate([np.zeros(0, np.int64), *(h for _, h in found)])
 
 
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First rows of each key after sorting by (key, doc), and distinct (doc, hub) pairs of the others."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
@@ -135,7 +135,7 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], docs[first], np.unique(pairs, axis=0)
 
 
-def _arrow(kind: int, key: np.ndarray, doc: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+def arrow_rows(kind: int, key: np.ndarray, doc: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(doc), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(other)],
         ["kind", "key", "doc", "other"],
@@ -148,9 +148,9 @@ def _emitter(rule: Rule):
     def combined(waiting: list) -> Iterator[pa.RecordBatch]:
         if not waiting:
             return
-        keys, docs, pairs = _stars(np.concatenate([k for k, _ in waiting]), np.concatenate([d for _, d in waiting]))
-        yield _arrow(_SEGMENT, keys, docs, docs)
-        yield _arrow(_PAIR, mix(pairs[:, 0].astype(U64)), pairs[:, 0], pairs[:, 1])
+        keys, docs, pairs = stars(np.concatenate([k for k, _ in waiting]), np.concatenate([d for _, d in waiting]))
+        yield arrow_rows(SEGMENT, keys, docs, docs)
+        yield arrow_rows(PAIR, mix(pairs[:, 0].astype(U64)), pairs[:, 0], pairs[:, 1])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, rows = [], 0
@@ -163,7 +163,7 @@ def _emitter(rule: Rule):
                 row_ids = pa.array(docs, pa.int64())
                 keys = mix(np.array([d or 0 for d in docs], np.int64).view(U64) + U64(7))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(docs), _SIZE, np.int8)), pa.array(keys.view(np.int64)), row_ids, pa.array(sizes)],
+                    [pa.array(np.full(len(docs), SIZE, np.int8)), pa.array(keys.view(np.int64)), row_ids, pa.array(sizes)],
                     ["kind", "key", "doc", "other"],
                 )
                 # of equal sets in the chunk only the first is dealt into segments
@@ -180,7 +180,7 @@ def _emitter(rule: Rule):
                         dealt_docs.append(doc)
                 if equal:
                     pairs = np.unique(np.array(equal, np.int64), axis=0)
-                    yield _arrow(_LINK, mix(pairs[:, 0].astype(U64)), pairs[:, 0], pairs[:, 1])
+                    yield arrow_rows(LINK, mix(pairs[:, 0].astype(U64)), pairs[:, 0], pairs[:, 1])
                 if dealt:
                     keys, holder = segment_hashes(dealt, rule)
                     waiting.append((keys, np.array(dealt_docs, np.int64)[holder]))
@@ -198,7 +198,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, hub = None, None
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        n = int(np.searchsorted(kind, _SEGMENT, side="right"))
+        n = int(np.searchsorted(kind, SEGMENT, side="right"))
         if n:
             keys, docs = (batch.column(c).slice(0, n).to_numpy() for c in ("key", "doc"))
             first = np.ones(n, bool)
@@ -208,7 +208,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hubs = np.where(keys == last, hub, hubs)
             last, hub = keys[-1], hubs[-1]
             pairs = np.unique(np.stack([docs, hubs], 1)[docs != hubs], axis=0)
-            yield _arrow(_PAIR, np.zeros(len(pairs), U64), pairs[:, 0], pairs[:, 1])
+            yield arrow_rows(PAIR, np.zeros(len(pairs), U64), pairs[:, 0], pairs[:, 1])
         yield batch.slice(n)
 
 
@@ -284,12 +284,20 @@ def find_links(sets: list[np.ndarray], rule: Rule, known: list[int] | None = Non
     return found
 
 
-def _searcher(rule: Rule):
+#: Encoded texts and the rule -> their shingle sets.
+Sets = Callable[[list[bytes], Rule], list[np.ndarray]]
+
+
+def word_sets(texts: list[bytes], rule: Rule) -> list[np.ndarray]:
+    return shingle_sets(texts, rule.words)
+
+
+def _searcher(rule: Rule, sets_of: Sets):
     """Rows sorted by group -> links; one group of texts is held at a time."""
 
     def links(rows: list[tuple]) -> pa.RecordBatch | None:
         texts = [r[2] for r in rows]
-        sets = [s for _, run in chunks(texts) for s in shingle_sets(run, rule.words)]
+        sets = [s for _, run in chunks(texts) for s in sets_of(run, rule)]
         found = find_links(sets, rule, [r[3] for r in rows])
         if not found:
             return None
@@ -312,47 +320,66 @@ def _searcher(rule: Rule):
     return search
 
 
-def _search(rows: DataFrame, rule: Rule) -> DataFrame:
+def _search(rows: DataFrame, rule: Rule, sets_of: Sets) -> DataFrame:
     """Links within each ``cell`` of rows (cell, doc_id, text, cluster)."""
     dealt = rows.repartition("cell").sortWithinPartitions("cell", "doc_id")
-    return dealt.mapInArrow(_searcher(rule), "a long, b long")
+    return dealt.mapInArrow(_searcher(rule, sets_of), "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, rule: Rule, scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(_emitter(rule), _ROWS)
-    met = rows.repartition("key").sortWithinPartitions("kind", "key", "doc").mapInArrow(_meet, _ROWS)
-    met = scratch.write(met.select("kind", "doc", "other"), "met")
+def star_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Emitted rows (``ROWS``) as (kind, doc, other): rows of one segment key become pairs with its first."""
+    met = rows.repartition("key").sortWithinPartitions("kind", "key", "doc").mapInArrow(_meet, ROWS)
+    return scratch.write(met.select("kind", "doc", "other"), "met")
+
+
+def links_in_blocks(
+    pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: Rule, sets_of: Sets, scratch: Scratch, equal: DataFrame | None = None,
+) -> DataFrame:
+    """Links (a, b) that connect all that links within the components of the candidate pairs connect.
 
-    pairs = met.filter(F.col("kind") == _PAIR).select(F.col("doc").alias("a"), F.col("other").alias("b"))
-    equal = met.filter(F.col("kind") == _LINK).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    ``fetch`` gets the candidates (doc_id, block, tiles, tile) and returns them with their ``text``;
+    ``equal`` are links that are known before.
+    """
     blocks = components(pairs, scratch, "blocks").withColumnRenamed("component", "block")
     sized = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     placed = blocks.join(sized, "block").select(
         F.col("node").alias("doc_id"), "block", "tiles", F.expr("CAST(pmod(xxhash64(node), tiles) AS INT)").alias("tile"),
     )
     placed = scratch.write(placed, "placed")
-    near = within(docs.filter("doc_id IS NOT NULL"), ["doc_id"], placed)
-    texts = scratch.write(near.join(placed.hint("shuffle_hash"), "doc_id"), "texts")
+    texts = scratch.write(fetch(placed), "texts")
 
     # the first document of a block is in each of its tiles
     tiles = F.when(F.col("doc_id") == F.col("block"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
     cells = texts.select("doc_id", "text", "block", F.explode(tiles).alias("t"))
     cells = cells.select(F.xxhash64("block", "t").alias("cell"), "doc_id", "text", F.col("doc_id").alias("cluster"))
-    links = scratch.write(_search(cells, rule).union(equal), "links")
+    links = _search(cells, rule, sets_of)
+    links = scratch.write(links if equal is None else links.union(equal), "links")
 
     wide = placed.filter("tiles > 1")
     if not wide.isEmpty():
-        links = links.union(scratch.write(_across_tiles(texts, wide, links, rule, scratch), "tile-links"))
+        links = links.union(scratch.write(_across_tiles(texts, wide, links, rule, sets_of, scratch), "tile-links"))
+    return links
+
+
+def jaccard_groups(docs: DataFrame, rule: Rule, scratch: Scratch | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = star_pairs(docs.mapInArrow(_emitter(rule), ROWS), scratch)
+    pairs = met.filter(F.col("kind") == PAIR).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    equal = met.filter(F.col("kind") == LINK).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+
+    def fetch(placed: DataFrame) -> DataFrame:
+        return within(docs.filter("doc_id IS NOT NULL"), ["doc_id"], placed).join(placed.hint("shuffle_hash"), "doc_id")
+
+    links = links_in_blocks(pairs, fetch, rule, word_sets, scratch, equal)
     groups = components(links, scratch, "groups")
-    sizes = met.filter(F.col("kind") == _SIZE).select(F.col("doc").alias("doc_id"), F.col("other").alias("n_shingles"))
+    sizes = met.filter(F.col("kind") == SIZE).select(F.col("doc").alias("doc_id"), F.col("other").alias("n_shingles"))
     found = sizes.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _across_tiles(texts: DataFrame, wide: DataFrame, links: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+def _across_tiles(texts: DataFrame, wide: DataFrame, links: DataFrame, rule: Rule, sets_of: Sets, scratch: Scratch) -> DataFrame:
     """Links between the tiles of blocks that the links within tiles leave in several clusters."""
     clusters = components(links, scratch, "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     placed = wide.join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id"))
@@ -366,7 +393,7 @@ def _across_tiles(texts: DataFrame, wide: DataFrame, links: DataFrame, rule: Rul
     cells = cells.select(
         F.xxhash64("block", F.least("tile", "t"), F.greatest("tile", "t")).alias("cell"), "doc_id", "text", "cluster",
     )
-    return _search(cells, rule)
+    return _search(cells, rule, sets_of)
 
 
 def near_dedup(docs: DataFrame, rule: Rule, scratch: Scratch | None = None) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import exact_dedup, jaccard_join, mixing, pii, pivot_index, quality, sentencepiece_fst, token_counts, toxicity
+from graphproof.llm import exact_dedup, jaccard_join, line_dedup, mixing, pii, pivot_index, quality, sentencepiece_fst, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_pivot_index": pivot_index.op3_pivot_index,
         "op4_pii": pii.op4_pii,
         "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
