@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 
 from graphproof.model import Graph, GraphSchema
 from graphproof.operators.compile import compile_graph, selectors_of
-from graphproof.operators.decide import build_requests, check_answers, decide, escalate
+from graphproof.operators.decide import build_requests, check_answers, decide, decide_with_tables, escalate
 from graphproof.operators.evidence import resolve_evidence
 from graphproof.operators.explain import explain
 from graphproof.operators.lookup import lookup
@@ -23,7 +23,7 @@ from graphproof.sources.schema import read_schema, schema_from_tables, schema_fr
 from graphproof.verdicts import ordered
 
 __all__ = [
-    "Graph", "GraphSchema", "Scratch", "ValidationReport", "Workspace", "build_requests",
+    "Graph", "GraphSchema", "Scratch", "ValidationReport", "Workspace", "build_requests", "decide_with_tables",
     "check_answers", "compile_graph", "compile_workspace", "decide", "escalate", "explain",
     "lookup", "neighborhood", "open_verdicts", "ordered", "parse_documents", "read_corpus",
     "read_schema", "read_sources", "require_valid", "resolve_evidence", "schema_from_tables",

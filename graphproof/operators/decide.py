@@ -1,8 +1,9 @@
 """Escalation of ambiguous lookups to a user-supplied decider.
 
 A candidate set is kept once per needle and never copied per query. The set of a query without
-exact match is the whole entity table: it is named by ``scope = 'all'`` and checked by a join
-with the entities, not written out per query.
+exact match is the whole entity table: it is named by ``scope = 'all'``. Requests name their set and
+never hold it, whatever its size; answers are checked by a join with the set. A decider that has to
+see the candidates takes the tables (``decide_with_tables``).
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from graphproof.session import Scratch
 from graphproof.skew import lookup_join
 
 SCOPE_EXACT, SCOPE_ALL = "exact", "all"
-INLINE_LIMIT = 1000
+#: Errors of answers that are lost or given twice; the batch form has no counterpart elsewhere.
+NO_ANSWER = "no answer for this request"
+SEVERAL_ANSWERS = "more than one answer for this request"
 
 
 def escalate(
@@ -58,54 +61,34 @@ def escalate(
     return requests, candidates
 
 
-def build_requests(
-    requests: DataFrame,
-    candidates: DataFrame,
-    entities: DataFrame,
-    inline_limit: int = INLINE_LIMIT,
-) -> DataFrame:
-    """Requests with the JSON ``request`` a decider gets.
-
-    Candidate sets of up to ``inline_limit`` rows are part of the JSON. A larger set has
-    ``"candidates": null`` there and stays complete in its table, which the answer check uses.
-    """
-    sized = candidates.join(
-        requests.filter(F.col("exact_count").between(1, inline_limit))
-        .select("needle")
-        .distinct(),
-        "needle",
-        "left_semi",
-    )
-    shape = lambda c: F.struct(c["id"], c["kind"], c["title"], c["aliases"])
-    packed = F.transform(
-        F.sort_array(F.collect_list(F.struct("rank", "id", "document", "kind", "title", "aliases"))),
-        shape,
-    )
-    inlined = sized.groupBy("needle").agg(packed.alias("listed"))
-    out = lookup_join(requests, inlined, ["needle"], spread=["query_id"])
-
-    few = entities.limit(inline_limit + 1)
-    if few.count() <= inline_limit:
-        whole = entities.withColumn("rank", F.lit(0)).agg(packed.alias("whole"))
-        out = out.join(F.broadcast(whole.withColumn("scope", F.lit(SCOPE_ALL))), "scope", "left")
-        out = out.withColumn("listed", F.coalesce("listed", "whole"))
+def build_requests(requests: DataFrame) -> DataFrame:
+    """Requests with the JSON ``request`` a decider gets: the query and the name of its candidate set."""
     body = F.struct(
         F.lit(DECISION_VERSION).alias("version"),
         F.lit(DECISION_TASK).alias("task"),
         F.col("text").alias("query"),
-        F.col("listed").alias("candidates"),
+        "needle",
+        "scope",
     )
-    return out.select(
+    return requests.select(
         "query_id", "needle", "scope", "exact_count",
         F.to_json(body, {"ignoreNullFields": "false"}).alias("request"),
     )
 
 
-def decide(requests: DataFrame, decider: Callable[[str], str | None]) -> DataFrame:
-    """Ask ``decider`` for each ``request``; ``(query_id, response, failure)``.
+def decide(
+    requests: DataFrame,
+    decider: Callable[[str], str | None],
+    entities: DataFrame,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """Ask ``decider`` for each ``request``, once; ``(query_id, response, failure)``.
 
-    The decider runs inside the tasks. What it raises becomes the ``failure`` of that row.
+    The decider runs inside the tasks. What it raises becomes the ``failure`` of that row. The
+    answers are written before they are returned, so reading them again asks nobody; only a task
+    that Spark runs again repeats its calls. Without entities there is no set to choose from and nobody is asked.
     """
+    scratch = scratch or Scratch(requests.sparkSession, "decide")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,9 +104,26 @@ def decide(requests: DataFrame, decider: Callable[[str], str | None]) -> DataFra
                 {"query_id": batch["query_id"], "response": responses, "failure": failures}
             )
 
-    return requests.select("query_id", "request").mapInPandas(
+    asked = requests.filter(F.lit(False)) if entities.isEmpty() else requests
+    answers = asked.select("query_id", "request").mapInPandas(
         ask, f"query_id {_id_type(requests)}, response string, failure string"
     )
+    return scratch.write(answers, "answers")
+
+
+def decide_with_tables(
+    requests: DataFrame,
+    candidates: DataFrame,
+    entities: DataFrame,
+    decider: Callable[[DataFrame, DataFrame, DataFrame], DataFrame],
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """Answers ``(query_id, response[, failure])`` of a decider that works on whole tables.
+
+    It gets the requests, the candidates (by needle) and the entities, the set of ``scope = 'all'``.
+    """
+    scratch = scratch or Scratch(requests.sparkSession, "decide")
+    return scratch.write(decider(requests, candidates, entities), "table-answers")
 
 
 def _id_type(df: DataFrame) -> str:
@@ -178,30 +178,35 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = pd.DataFrame(rows, columns=["entity_id", "confidence", "problem"])
         out["confidence"] = out["confidence"].astype("float64")
         out.insert(0, "query_id", batch["query_id"].to_numpy())
+        out["failure"] = batch["failure"].to_numpy()
         yield out
 
 
 def check_answers(
-    requests: DataFrame, candidates: DataFrame, entities: DataFrame, answers: DataFrame
+    requests: DataFrame,
+    candidates: DataFrame,
+    entities: DataFrame,
+    answers: DataFrame,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Decisions for the requests, from answers ``(query_id, response[, failure])``.
 
     Result: ``query_id, entity_id, kind, title, document, confidence, error``. A null
-    ``entity_id`` without error is the answer "none of them". A request without answer row is
-    reported as an error, except that an empty entity table leaves nothing to ask about.
+    ``entity_id`` without error is the answer "none of them". A request without answer row or with
+    several is reported as an error, except that an empty entity table leaves nothing to ask about.
     """
+    scratch = scratch or Scratch(requests.sparkSession, "answers")
     if "failure" not in answers.columns:
         answers = answers.withColumn("failure", F.lit(None).cast("string"))
-    read = answers.select("query_id", "response").mapInPandas(
+    read = answers.select("query_id", "response", "failure").mapInPandas(
         _read_batches,
-        f"query_id {_id_type(answers)}, entity_id string, confidence double, problem string",
-    )
-    failed = answers.select("query_id", "failure")
-    asked = (
-        requests.select("query_id", "needle", "scope")
-        .join(read, "query_id", "left")
-        .join(failed, "query_id", "left")
+        f"query_id {_id_type(answers)}, entity_id string, confidence double, problem string, failure string",
     )
+    # one row per query; of several answers only their number is used
+    fields = ("entity_id", "confidence", "problem", "failure")
+    read = read.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_answers"), *(F.min(c).alias(c) for c in fields))
+    read = scratch.write(read, "read")
+    asked = requests.select("query_id", "needle", "scope").join(read, "query_id", "left")
     # First row of a set with that id, in candidate order.
     chosen = candidates.groupBy("needle", F.col("id").alias("entity_id")).agg(
         F.min(F.struct("rank", "document", "kind", "title")).alias("exact_pick")
@@ -222,7 +227,9 @@ def check_answers(
 
     confidence = F.col("confidence")
     error = (
-        F.when(F.col("failure").isNotNull(), F.col("failure"))
+        F.when(F.col("n_answers").isNull(), F.lit(None if entities.isEmpty() else NO_ANSWER))
+        .when(F.col("n_answers") > 1, F.lit(SEVERAL_ANSWERS))
+        .when(F.col("failure").isNotNull(), F.col("failure"))
         .when(F.col("problem").isNotNull(), F.col("problem"))
         .when(~confidence.between(0.0, 1.0), F.lit(DECISION_ERRORS["confidence"]))
         .when(
@@ -230,7 +237,7 @@ def check_answers(
             fill(DECISION_ERRORS["outside"], "entity_id"),
         )
     )
-    sound = F.col("error").isNull()
+    sound = F.col("error").isNull() & F.col("n_answers").isNotNull()
     keep = lambda c: F.when(sound, c)
     return located.withColumn("error", error).select(
         "query_id",

@@ -764,9 +764,10 @@ def _lookups() -> dict[str, str]:
                   'decision adapter confidence must be finite and within 0..=1'
                 WHEN case_no = 4 THEN 'invalid decision response: unknown field `note`'
                 WHEN case_no = 5 THEN
-                  'invalid decision response: entity_id must be a string or null' END AS error
+                  'invalid decision response: entity_id must be a string or null'
+                WHEN case_no = 8 THEN 'no answer for this request' END AS error
             FROM (SELECT c.query_id, c.exact_count, f.first_id, f.has_region,
-                length(c.text) % 8 AS case_no
+                length(c.text) % 9 AS case_no
               FROM counts c LEFT JOIN firsts f ON f.query_id = c.query_id
               WHERE exact_count <> 1)) q
           LEFT JOIN entities e ON e.id = q.picked""",

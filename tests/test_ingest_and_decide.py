@@ -3,7 +3,7 @@ import json
 import pytest
 
 from graphproof import build_requests, check_answers, decide, escalate, parse_documents
-from graphproof.operators.decide import read_response
+from graphproof.operators.decide import NO_ANSWER, SEVERAL_ANSWERS, read_response
 from graphproof.sources.frontmatter import META_LAYOUT, DecodeError, load_yaml
 
 ENTITY = "id string, kind string, title string, aliases array<string>, document string"
@@ -85,19 +85,16 @@ def test_escalation(spark):
     lookups = spark.createDataFrame(asked, "query_id bigint, text string")
     requests, candidates = escalate(entities, lookups)
     built = {
-        r["query_id"]: (r["scope"], json.loads(r["request"]))
-        for r in build_requests(requests, candidates, entities).collect()
+        r["query_id"]: json.loads(r["request"]) for r in build_requests(requests).collect()
     }
-    listed = {n: (scope, [c["id"] for c in body["candidates"]]) for n, (scope, body) in built.items()}
-    everything = ("all", ["a", "b", "c"])
-    assert listed == {
-        2: ("exact", ["a", "b"]), 3: everything, 4: everything, 5: ("exact", ["a", "b"]),
+    assert built == {
+        n: {"version": 1, "task": "select_entity", "query": text, "needle": needle, "scope": scope}
+        for n, text, needle, scope in (
+            (2, " SAME ", "same", "exact"), (3, "oth", "oth", "all"), (4, "  ", "", "all"),
+            (5, "same", "same", "exact"))
     }
-    assert {k: v for k, v in built[2][1].items() if k != "candidates"} == {
-        "version": 1, "task": "select_entity", "query": " SAME ",
-    }
-    by_reference = build_requests(requests, candidates, entities, inline_limit=1)
-    assert {json.loads(r["request"])["candidates"] is None for r in by_reference.collect()} == {True}
+    sets = {(c["needle"], c["id"]) for c in candidates.collect()}
+    assert sets == {("same", "a"), ("same", "b")}
 
     def decider(request):
         text = json.loads(request)["query"]
@@ -106,7 +103,7 @@ def test_escalation(spark):
         chosen = {" SAME ": "b", "same": "c", "  ": "c"}[text]
         return json.dumps({"entity_id": chosen, "confidence": 0.75})
 
-    answers = decide(build_requests(requests, candidates, entities), decider)
+    answers = decide(build_requests(requests), decider, entities)
     got = {
         r["query_id"]: (r["entity_id"], r["document"], r["confidence"], r["error"])
         for r in check_answers(requests, candidates, entities, answers).collect()
@@ -128,3 +125,45 @@ def test_high_confidence_is_rejected(spark):
     )
     (row,) = check_answers(requests, candidates, entities, answers).collect()
     assert row["error"] == "decision adapter confidence must be finite and within 0..=1"
+
+
+def _two_requests(spark, rows=(("a", "T", "A", [], "1.md"),)):
+    entities = spark.createDataFrame(list(rows), ENTITY)
+    lookups = spark.createDataFrame([(1, "zzz"), (2, "yyy")], "query_id bigint, text string")
+    return entities, *escalate(entities, lookups)
+
+
+def test_each_request_is_asked_once(spark, tmp_path):
+    entities, requests, candidates = _two_requests(spark)
+    log = str(tmp_path / "calls")
+
+    def decider(request):
+        with open(log, "a") as f:
+            f.write("x")
+        return '{"entity_id": "a"}'
+
+    answers = decide(build_requests(requests), decider, entities)
+    decisions = check_answers(requests, candidates, entities, answers)
+    for _ in range(2):
+        assert {r["entity_id"] for r in decisions.collect()} == {"a"}
+    assert open(log).read() == "xx"
+
+
+def test_nobody_is_asked_about_no_entities(spark):
+    entities, requests, candidates = _two_requests(spark, rows=())
+
+    def decider(request):
+        raise AssertionError("asked")
+
+    answers = decide(build_requests(requests), decider, entities)
+    rows = check_answers(requests, candidates, entities, answers).collect()
+    assert [(r["entity_id"], r["error"]) for r in rows] == [(None, None)] * 2
+
+
+def test_lost_and_repeated_answers_are_errors(spark):
+    entities, requests, candidates = _two_requests(spark)
+    answers = spark.createDataFrame(
+        [(1, '{"entity_id": "a"}'), (1, "{}")], "query_id bigint, response string"
+    )
+    rows = {r["query_id"]: r["error"] for r in check_answers(requests, candidates, entities, answers).collect()}
+    assert rows == {1: SEVERAL_ANSWERS, 2: NO_ANSWER}
