@@ -64,7 +64,8 @@ def normalize_text(text: Column) -> Column:
 
 def trim_unicode(text: Column) -> Column:
     """Strip Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    # a run inside the text is looked at once, from its start
+    return F.regexp_replace(text, r"(?U)\A\s+|(?<!\s)\s++\z", "")
 
 
 def lookup_key(text: Column) -> Column:

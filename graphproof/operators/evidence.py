@@ -63,13 +63,18 @@ def resolve_evidence(selectors: DataFrame, sources: DataFrame) -> DataFrame:
     with ``state, source, exact, start_line, end_line, message``.
     """
     flat = _flat_selectors(selectors)
-    texts = searchable(sources)
     load = selectors.select(
         path_key(F.coalesce("selector.source", "declaration")).alias("path_key")
     )
-    # Folders share the key space of the files, so one join answers both.
+    # Only quoted sources are prepared: the rest is dropped by its key, before its text is normalized.
+    keyed = sources.withColumn("path_key", path_key(F.col("path")))
+    asked = flat.filter(F.col("fault").isNull()).select("path_key").distinct()
+    texts = searchable(keyed.join(asked, "path_key", "left_semi"))
+    # What names no file may name a folder; both share the key space, so one join answers both.
+    open_keys = asked.join(keyed.select("path_key"), "path_key", "left_anti")
+    named = folders(sources).join(open_keys, "path_key", "left_semi")
     places = texts.withColumn("is_folder", F.lit(False)).unionByName(
-        folders(sources).withColumn("is_folder", F.lit(True)), allowMissingColumns=True
+        named.withColumn("is_folder", F.lit(True)), allowMissingColumns=True
     )
     return _judge(lookup_join(flat, places, on=["path_key"], spread=SELECTOR_KEY, load=load))
 

@@ -72,14 +72,18 @@ def _grams(text: Column, size: Column) -> Column:
 
 
 def _entity_grams(keyed: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row per entity row and distinct gram of its keys. Grams that span two keys add rows
-    that the containment check drops."""
+    """The identity of each entity row beside each distinct gram of its keys. Grams that span two
+    keys add rows that the containment check drops."""
     grams = F.flatten(F.array(*[_grams(F.col("key_text"), F.lit(size)) for size in sizes]))
-    return keyed.select(*ENTITY, *KEYS, F.explode(grams).alias("gram"))
+    return keyed.select(*ROW, F.explode(grams).alias("gram"))
 
 
 def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(needle, rank, entity columns)`` for every match, exact or by substring."""
+    """``(needle, rank, entity columns)`` for every match, exact or by substring.
+
+    Only identities travel with grams, and only those of anchors; the wide row is fetched for the pairs
+    that an anchor proposes.
+    """
     wanted = scratch.write(
         needles.filter(F.col("needle") != "").select("needle").distinct(), "needles"
     )
@@ -94,12 +98,9 @@ def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataF
         ),
         "needle_grams",
     )
-    common = (
-        grams.select("gram")
-        .join(options.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    # counted on the map side before anything meets the options
+    counts = scratch.write(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram_counts")
+    common = counts.join(options.select("gram").distinct(), "gram", "left_semi")
     anchors = scratch.write(
         options.join(common, "gram", "left")
         .groupBy("needle")
@@ -108,9 +109,13 @@ def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataF
         .filter(F.col("n") > 0),
         "anchors",
     )
-    met = lookup_join(
+    # the gram rows are the split side, so their own counts say which grams are crowded
+    proposed = lookup_join(
         grams, anchors.select("gram", "needle"), ["gram"], spread=ROW, how="inner",
-        load=anchors.select("gram", "n").distinct(), weight="n",
+        load=counts, weight="n",
+    )
+    met = lookup_join(
+        proposed.select("needle", *ROW).distinct(), keyed, ROW, spread=["needle"], how="inner"
     ).filter(F.contains(F.col("key_text"), F.col("needle")))
     needle = F.col("needle")
     inside = (

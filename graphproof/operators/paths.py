@@ -10,7 +10,8 @@ without carrying any path along the search:
 3. from the start, follow those hops.
 
 Documents declare outgoing relations, so forward degrees are small and searching forward avoids
-the hubs on the target side.
+the hubs on the target side. Many starts may wait on one node all the same, so the frontier is split
+like the arcs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from graphproof.fixed_values import UNKNOWN_ENTITY
 from graphproof.model import GraphSchema, fill
 from graphproof.operators.adjacency import directed
 from graphproof.session import Scratch
-from graphproof.skew import hot_buckets, lookup_join
+from graphproof.skew import hot_buckets, lookup_join, two_sided_join
 
 LEVEL = "start string, node string, level int"
 HOP = "start string, goal string, node string, next string, relation string, declaration string"
@@ -65,8 +66,8 @@ def _search(arcs: DataFrame, hot: DataFrame, goals: DataFrame, scratch: Scratch)
     level = 0
     while True:
         reached = (
-            lookup_join(steps, frontier.select("start", "node"), ["node"], spread=["next"],
-                        how="inner", hot=hot)
+            two_sided_join(steps, frontier.select("start", "node"), ["node"], ["next"], ["start"],
+                           hot_left=hot)
             .select("start", F.col("next").alias("node"))
             .distinct()
         )
@@ -102,8 +103,8 @@ def _least_hops(arcs, hot, depth: int, scratch: Scratch) -> None:
         here = level_of.filter(F.col("level") == level).select("start", "node")
         # Stepping forward again keeps to the small out-degrees; the hubs on the target side
         # are never expanded.
-        into = lookup_join(
-            arcs, here, ["node"], spread=["next", "declaration"], how="inner", hot=hot
+        into = two_sided_join(
+            arcs, here, ["node"], ["next", "declaration"], ["start"], hot_left=hot
         ).join(arriving, ["start", "next"])
         best = (
             into.groupBy("start", "goal", "node")

@@ -74,3 +74,40 @@ def lookup_join(
         .selectExpr(*lookup_columns, "explode(sequence(0, coalesce(hot_salts, 1) - 1)) AS salt")
     )
     return salted_fact.join(salted_lookup, on + ["salt"], how).drop("salt")
+
+
+def two_sided_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    spread_left: list[str],
+    spread_right: list[str],
+    hot_left: DataFrame | None = None,
+    hot_right: DataFrame | None = None,
+) -> DataFrame:
+    """Inner join where either side, or both, may crowd on a key.
+
+    A bucket that is crowded on the left has its left rows spread over salts and its right rows copied
+    once per salt, and the other way round, so the rows and the matches of a hub go to many tasks.
+    A row is copied at most as often as the other side's bucket has shares.
+    """
+    hot_left = hot_buckets(left, on) if hot_left is None else hot_left
+    hot_right = hot_buckets(right, on) if hot_right is None else hot_right
+    hot = hot_left.withColumnRenamed("hot_salts", "left_salts").join(
+        hot_right.withColumnRenamed("hot_salts", "right_salts"), "hot_bucket", "full"
+    )
+    hot = F.broadcast(hot)  # at most 2 * SPLITS rows from either side
+
+    def dealt(df: DataFrame, own: str, other: str, spread: list[str]) -> DataFrame:
+        columns = [f"`{c}`" for c in df.columns]
+        salted = df.selectExpr("*", _bucket(on)).join(hot, "hot_bucket", "left")
+        return salted.selectExpr(
+            *columns,
+            f"coalesce(CAST(pmod(xxhash64({_names(spread)}), {own}_salts) AS INT), 0) AS {own}_salt",
+            f"explode(sequence(0, coalesce({other}_salts, 1) - 1)) AS {other}_salt",
+        )
+
+    salts = ["left_salt", "right_salt"]
+    return dealt(left, "left", "right", spread_left).join(
+        dealt(right, "right", "left", spread_right), on + salts
+    ).drop(*salts)
