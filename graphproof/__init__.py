@@ -18,7 +18,7 @@ from graphproof.plans.workspace import Workspace, compile_workspace
 from graphproof.session import Scratch
 from graphproof.sources.corpus import read_corpus, read_sources
 from graphproof.sources.frontmatter import parse_documents
-from graphproof.sources.report import to_json_rows, write_report
+from graphproof.sources.report import decision_json, to_json_rows, write_report, write_validation
 from graphproof.sources.schema import read_schema, schema_from_tables, schema_from_yaml
 from graphproof.verdicts import ordered
 
@@ -28,7 +28,7 @@ __all__ = [
     "lookup", "neighborhood", "open_verdicts", "ordered", "parse_documents", "read_corpus",
     "read_schema", "read_sources", "require_valid", "resolve_evidence", "schema_from_tables",
     "schema_from_yaml", "selectors_of", "shortest_paths", "summarize", "to_json_rows",
-    "validate", "write_report",
+    "decision_json", "validate", "write_report", "write_validation",
 ]
 
 # Executors need not have this package installed: its task functions travel by value.

@@ -8,6 +8,8 @@ the least successor from the least node must close a loop, which is the witness.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,29 +40,39 @@ def relation_edges(schema: GraphSchema, valid_edges: DataFrame) -> DataFrame:
 
 
 def residue(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges between nodes from which a cycle can be reached, for all relations at once."""
+    """Edges between nodes from which a cycle can be reached, for all relations at once.
+
+    A relation leaves the loop with the first block that takes nothing from it or leaves it empty, so
+    rounds carry only the arcs of relations that still change.
+    """
     arcs = scratch.write(edges, "arcs-0")
     hot = scratch.write(hot_buckets(arcs, ["relation", "dst"]), "hot")
-    kept = arcs.count()
+    counts = scratch.write(_per_relation(arcs), "counts-0")
+    settled, block = [], 0
 
-    def leading_to(nodes: DataFrame) -> DataFrame:
+    def leading_to(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
         targets = nodes.withColumnRenamed("node", "dst")
         return lookup_join(
             arcs, targets, ["relation", "dst"], spread=["src"], how="left_semi", hot=hot
         )
 
-    block = 0
-    while kept:
+    while not counts.isEmpty():
         block += 1
         alive = arcs.select("relation", F.col("src").alias("node")).distinct()
         for _ in range(STEPS_PER_BLOCK - 1):
-            alive = leading_to(alive).select("relation", F.col("src").alias("node")).distinct()
-        arcs = scratch.write(leading_to(alive), f"arcs-{block}")
-        remaining = arcs.count()
-        if remaining == kept:
-            break
-        kept = remaining
-    return arcs
+            alive = leading_to(arcs, alive).select("relation", F.col("src").alias("node")).distinct()
+        left = scratch.write(leading_to(arcs, alive), f"left-{block}")
+        now = _per_relation(left)
+        changed = counts.join(now, ["relation", "n"], "left_anti").select("relation")
+        still = scratch.write(now.join(changed, "relation", "left_semi"), f"counts-{block}")
+        settled.append(scratch.write(left.join(still, "relation", "left_anti"), f"settled-{block}"))
+        arcs = scratch.write(left.join(still, "relation", "left_semi"), f"arcs-{block}")
+        counts = still
+    return functools.reduce(DataFrame.unionByName, settled, arcs)
+
+
+def _per_relation(arcs: DataFrame) -> DataFrame:
+    return arcs.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cyclic_relations(residual: DataFrame) -> DataFrame:

@@ -50,6 +50,11 @@ class Scratch:
             reader = reader.schema(schema)
         return reader.parquet(f"{self.path}/{name}")
 
+    def close(self) -> None:
+        """Delete the tables of the run. Frames that read them can't be used afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def read_levels(self, name: str, first: int, last: int, schema) -> DataFrame:
         """Union of the written tables ``name-first`` .. ``name-last`` as one scan."""
         paths = [f"{self.path}/{name}-{i}" for i in range(max(first, 0), last + 1)]

@@ -14,15 +14,26 @@ from graphproof.functions.text import (
 )
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as the file system names it: with scheme, absolute, without ``.`` and ``..``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toString().rstrip("/")
+
+
 def relative_path(path: Column, root: str) -> Column:
-    """The part of a file path below ``root``, with ``/`` between components."""
-    bare = root.split(":", 1)[1] if ":" in root.split("/", 1)[0] else root
-    bare = "/" + bare.strip("/") + "/"
-    below = F.substr(path, F.locate(bare, path) + len(bare))
-    return F.replace(below, F.lit("\\"), F.lit("/"))
+    """The part of a file path below the qualified ``root``, with ``/`` between components.
+
+    A path outside the root is an error, since ids and evidence would point nowhere.
+    """
+    inside = F.startswith(path, F.lit(f"{root}/"))
+    below = F.substr(path, F.lit(len(root) + 2))
+    outside = F.raise_error(F.concat(path, F.lit(f" is not below {root}")))
+    return F.when(inside, F.replace(below, F.lit("\\"), F.lit("/"))).otherwise(outside)
 
 
 def _read_files(spark: SparkSession, folder: str, root: str, glob: str | None) -> DataFrame:
+    root = qualified(spark, root)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphproof.verdicts import ordered
+
 
 def verdict_json(keep_nulls: bool = False) -> Column:
     """One verdict as a JSON object; absent values and an empty witness list are left out."""
@@ -27,3 +29,26 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", keep_nulls: bool =
         df.write.parquet(path)
     else:
         raise ValueError(f"unknown report format {fmt!r}")
+
+
+def decision_json() -> Column:
+    """One decision as a JSON object: ``entity`` stays when it is null, ``confidence`` is left out."""
+    entity = F.when(
+        F.col("entity_id").isNotNull(),
+        F.struct(F.col("entity_id").alias("id"), "kind", "title", "document"),
+    )
+    kept = F.to_json(F.struct(entity.alias("entity")), {"ignoreNullFields": "false"})
+    confidence = F.regexp_replace(F.to_json(F.struct("confidence")), r"\A\{", ",")
+    return F.when(F.col("confidence").isNull(), kept).otherwise(
+        F.concat(F.regexp_replace(kept, r"\}\z", ""), confidence)
+    )
+
+
+def write_validation(report, path: str, fmt: str = "json") -> None:
+    """Write a validation report whole: its verdicts in canonical order and the witnesses of any length.
+
+    The long witnesses are tables of their own: ``cardinality_assertions`` and ``cycle_nodes``.
+    """
+    write_report(ordered(report.verdicts).drop("sort_key"), f"{path}/verdicts", fmt)
+    write_report(report.cardinality_assertions, f"{path}/cardinality_assertions", fmt)
+    write_report(report.cycle_nodes, f"{path}/cycle_nodes", fmt)

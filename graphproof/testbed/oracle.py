@@ -141,22 +141,36 @@ FAULTY_EDGES = "edges AS (" + "\nUNION ALL ".join(
         _edge(_PEERS, ("supplier", "b"), "peer", ("supplier", "a"), ("supplier", "b"), "2"),
     ]
 ) + ")"
+_ACYCLIC = [
+    _edge("nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1",
+          ("nation", "a.n_nationkey"), "precedes", ("nation", "b.n_nationkey"),
+          ("nation", "a.n_nationkey"), "1"),
+    _edge("(SELECT DISTINCT a.event_type AS a, b.event_type AS b FROM events a JOIN events b "
+          "ON b.event_id = a.event_id + 1 WHERE a.event_type <> b.event_type)",
+          ("event", "a"), "follows", ("event", "b"), ("event", "a")),
+    _edge("customer", ("customer", "c_custkey"), "refers",
+          ("customer", "((c_custkey * c_custkey + 1) % (SELECT count(*) FROM customer))"),
+          ("customer", "c_custkey"), "3"),
+]
 CYCLIC_EDGES = "edges AS (" + "\nUNION ALL ".join(
     [
-        _edge("nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1",
-              ("nation", "a.n_nationkey"), "precedes", ("nation", "b.n_nationkey"),
-              ("nation", "a.n_nationkey"), "1"),
-        _edge("(SELECT DISTINCT a.event_type AS a, b.event_type AS b FROM events a JOIN events b "
-              "ON b.event_id = a.event_id + 1 WHERE a.event_type <> b.event_type)",
-              ("event", "a"), "follows", ("event", "b"), ("event", "a")),
-        _edge("customer", ("customer", "c_custkey"), "refers",
-              ("customer", "((c_custkey * c_custkey + 1) % (SELECT count(*) FROM customer))"),
-              ("customer", "c_custkey"), "3"),
+        *_ACYCLIC,
         _edge("(SELECT * FROM events WHERE event_id > 0)", ("event", "event_id"), "caused_by",
               ("event", "event_id // 2"), ("event", "event_id")),
     ]
 ) + ")"
 
+
+WHOLE_ENTITIES = ENTITIES[:-1] + "\nUNION ALL " + "\nUNION ALL ".join(
+    [
+        _entity("documents", "doc", "doc_id"),
+        _entity("(SELECT DISTINCT source FROM documents)", "source", "source"),
+    ]
+) + ")"
+WHOLE_EDGES = EDGES[:-1] + "\nUNION ALL " + "\nUNION ALL ".join(
+    [*_ACYCLIC, _edge("documents", ("doc", "doc_id"), "quotes", ("source", "source"), ("doc", "doc_id"))]
+) + ")"
+
 JUDGED = """
 last_kind AS (SELECT id, max_by(kind, document) AS kind FROM entities GROUP BY id),
 linked AS (
@@ -579,14 +593,31 @@ closed AS (
   WHERE list_contains(path[1:len(path) - 1], path[-1]))
 """
 
-_VALID_GRAPH = (SCHEMA, ENTITIES, EDGES, JUDGED, EDGE_VERDICTS, ENTITY_VERDICTS, CARDINALITY)
+_VALID_CYCLES = """
+ordered AS (SELECT relation, src, dst FROM judged WHERE domain_ok AND range_ok
+  AND relation IN (SELECT relation FROM relations WHERE acyclic)),
+reach AS (
+  SELECT relation, src AS a, dst AS b FROM ordered
+  UNION SELECT r.relation, r.a, e.dst FROM reach r JOIN ordered e
+    ON e.relation = r.relation AND e.src = r.b),
+looping AS (SELECT DISTINCT relation FROM reach WHERE a = b)
+"""
+_VALID_GRAPH = (
+    SCHEMA, WHOLE_ENTITIES, WHOLE_EDGES, JUDGED, EDGE_VERDICTS, ENTITY_VERDICTS, CARDINALITY, QUOTES,
+    RESOLVED, EVIDENCE_VERDICTS, _VALID_CYCLES,
+)
 _EVERY_VERDICT = """
-SELECT status, code FROM entity_verdicts UNION ALL SELECT status, code FROM edge_verdicts
+SELECT status, code FROM entity_verdicts
+UNION ALL SELECT status, code FROM edge_verdicts
+  WHERE code <> 'edge.evidence' OR NOT contains(subject, ' --quotes--> ')
+UNION ALL SELECT status, code FROM evidence_verdicts
 UNION ALL SELECT status, code FROM shape_verdicts
 UNION ALL SELECT 'satisfied', 'schema.version'
 UNION ALL SELECT 'satisfied', 'relation.contract' FROM relations
 UNION ALL SELECT 'satisfied', 'shape.contract' FROM shapes
-UNION ALL SELECT 'satisfied', 'relation.acyclic' FROM relations WHERE acyclic
+UNION ALL SELECT CASE WHEN l.relation IS NULL THEN 'satisfied' ELSE 'violated' END,
+  CASE WHEN l.relation IS NULL THEN 'relation.acyclic' ELSE 'relation.cycle' END
+  FROM relations r LEFT JOIN looping l ON l.relation = r.relation WHERE r.acyclic
 """
 
 
@@ -654,9 +685,9 @@ def _rules() -> dict[str, str]:
         "cycle_witness": _with(CYCLIC_EDGES, CYCLES, WITNESS_WALK, recursive=True) + """
           SELECT relation, CAST(nth - 1 AS BIGINT) AS position, loop[nth] AS node
           FROM (SELECT *, unnest(range(1, len(loop) + 1)) AS nth FROM closed)""",
-        "validate_codes": _with(*_VALID_GRAPH)
+        "validate_codes": _with(*_VALID_GRAPH, recursive=True)
         + f"SELECT status, code, count(*) AS n FROM ({_EVERY_VERDICT}) GROUP BY status, code",
-        "report_summary": _with(*_VALID_GRAPH) + f"""
+        "report_summary": _with(*_VALID_GRAPH, recursive=True) + f"""
           SELECT count(*) FILTER (status = 'satisfied') AS satisfied,
             count(*) FILTER (status = 'violated') AS violated,
             count(*) FILTER (status = 'unknown') AS unknown,

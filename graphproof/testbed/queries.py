@@ -316,7 +316,8 @@ def decide_apply(spark, folder):
 
 
 def _report(spark, folder) -> ValidationReport:
-    return validate(tb.schema(spark), tb.graph(spark, folder), tb.text_sources(spark, folder))
+    graph = tb.whole_graph(spark, folder)
+    return validate(tb.schema(spark), graph, tb.text_sources(spark, folder))
 
 
 def validate_codes(spark, folder):

@@ -344,6 +344,15 @@ def graph(spark: SparkSession, folder: str) -> Graph:
     return Graph(entities(spark, folder), edges(spark, folder))
 
 
+def whole_graph(spark: SparkSession, folder: str) -> Graph:
+    """The graph with quoted documents and with the declared acyclic relations, sound and not."""
+    t = lambda name: table(spark, folder, name)
+    all_entities = entities(spark, folder).unionByName(quote_entities(spark, folder))
+    more = _union([_precedes(t("nation")), _follows(t("events")), _refers(t("customer"))])
+    all_edges = edges(spark, folder).unionByName(more).unionByName(quote_edges(spark, folder))
+    return Graph(all_entities, all_edges)
+
+
 # ---- schema with faults, one relation per supplier and one shape per customer pair ------------
 
 

@@ -6,17 +6,14 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from graphproof.testbed import oracle
+from graphproof.testbed.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUICK = [
-    "compile_entities", "compile_edges", "selector_explode", "ingest_markdown", "schema_rules",
-    "entity_rules", "edge_rules", "edge_duplicates", "normalize_text", "evidence_corpus",
-    "adjacency", "neighborhood_edges", "explain", "lookup", "decide_apply", "validate_codes",
-]
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
 
 
@@ -34,7 +31,7 @@ def test_every_statement_belongs_to_a_query():
 
 
 @needs_data
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(oracle.statements())))
 def test_query_equals_its_statement(spark, duck, name):
     frame = contract.queries()[name](spark, FOLDER)
     columns = sorted(frame.columns)

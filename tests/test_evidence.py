@@ -28,24 +28,24 @@ def sel(exact, source="a.txt", prefix=None, suffix=None, hint=None):
 
 def test_states_and_lines(spark):
     files = {
-        "a.txt": "A same Z\nB same Y\nonly\r\nhere",
-        "f.md": "---\nexact: same\nx: y\n---\n# Body\nsame\n",
+        "a.txt": "red owl sat\nold owl ran\nonly\r\nhere",
+        "f.md": "---\nquote: owl\nx: y\n---\n# Text\nowl\n",
         "d.md": "own quote",
         "sub/b.txt": "aaaaa",
         "bad.bin": None,
         "c.txt": "a\\Eb (x) é",
     }
     cases = [
-        (sel("same"), "ambiguous", None, None),
-        (sel("same", prefix="B ", suffix=" Y"), "valid", 2, 2),
-        (sel("same", prefix="Q "), "stale", None, None),
-        (sel("same", prefix=""), "ambiguous", None, None),
+        (sel("owl"), "ambiguous", None, None),
+        (sel("owl", prefix="old ", suffix=" ran"), "valid", 2, 2),
+        (sel("owl", prefix="blue "), "stale", None, None),
+        (sel("owl", prefix=""), "ambiguous", None, None),
         (sel("only\nhere"), "valid", 3, 4),
         (sel("only\r\nhere", hint=(3, 4)), "valid", 3, 4),
         (sel("only", hint=(1, 1)), "relocated", 3, 3),
         (sel("gone"), "stale", None, None),
-        (sel("same", source="f.md"), "valid", 6, 6),
-        (sel("Body", source="f.md", prefix="---\n# "), "stale", None, None),
+        (sel("owl", source="f.md"), "valid", 6, 6),
+        (sel("Text", source="f.md", prefix="---\n# "), "stale", None, None),
         (sel("own quote", source=None), "valid", 1, 1),
         (sel("aa", source="sub/b.txt"), "ambiguous", None, None),
         (sel("aa", source="sub/b.txt", prefix="a"), "valid", 1, 1),

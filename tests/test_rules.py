@@ -152,3 +152,19 @@ def test_many_copies_of_one_assertion_keep_one_leader(spark):
     codes = by_code(report.verdicts)
     assert len(codes["edge.duplicate_assertion"]) == 4999
     assert len(codes["edge.structure"]) == len(codes["edge.evidence"]) == 1
+
+
+def test_long_chains_beside_a_cycle_keep_only_the_cycle(spark):
+    """A relation leaves the rounds when it stands still; a chain is peeled to nothing."""
+    from graphproof.operators.cycles import STEPS_PER_BLOCK, residue
+    from graphproof.session import Scratch
+
+    chain = [("chain", f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
+    loop = [("loop", "a", "b"), ("loop", "b", "a"), ("loop", "z", "a"), ("loop", "a", "end")]
+    edges = spark.createDataFrame(chain + loop, "relation string, src string, dst string")
+    scratch = Scratch(spark, "chain")
+    kept = {tuple(r) for r in residue(edges, scratch).select("relation", "src", "dst").collect()}
+    assert kept == {("loop", "a", "b"), ("loop", "b", "a"), ("loop", "z", "a")}
+    rounds = [scratch.read(f"arcs-{i}").select("relation").distinct() for i in range(1, -(-41 // STEPS_PER_BLOCK) + 1)]
+    assert [r[0] for r in rounds[2].collect()] == ["chain"] and rounds[-1].isEmpty()
+    scratch.close()
