@@ -10,8 +10,9 @@ leave the two pieces side by side, infinite where they would have joined other s
 segmentation all of whose neighbours are at weight 0 is the one that the merges produce, so just
 one path is finite. For a unigram model an arc weighs its negative score and pairs weigh nothing.
 
-No piece of a merge model reaches from a letter over into the white space after it, so paths are searched
-between these cuts; workers keep found paths in memos of bounded size. Texts are taken whole.
+Two neighbouring characters that are neighbours in no piece of a merge model are a cut that no path
+crosses, so paths are searched between cuts; workers keep found paths of words and of the stretches
+between cuts in memos of bounded size. Texts are taken whole.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows
 repeat; columns of the input named like the results are replaced; an empty table gives no rows.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from graphproof.llm.common import table
 
 SPACE = "▁"
-#: Words and pairs that a worker remembers before it starts anew.
-MEMO = 300_000
+#: Words, stretches and pairs that a worker remembers in the newer half of a memo before the older one goes.
+MEMO = 250_000
 #: Characters that are encoded before a batch of rows is handed on.
 BATCH_CHARS = 4_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
@@ -69,6 +70,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class _Memo(dict):
+    """Results of a function; when the newer half is full the older one goes. Long keys aren't kept."""
+
+    def __init__(self, function: Callable[[str], tuple[int, ...]]):
+        self.function = function
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        found = self.older.get(key)
+        if found is None:
+            found = self.function(key)
+            if len(key) > 100:
+                return found
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Transducer:
     """The compiled model; made once per task from the content of the model file."""
 
@@ -103,8 +124,17 @@ class Transducer:
         ]
         if self.pieces:
             self.texts[self.unknown] = " ⁇ ".encode()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.paths: dict[str, tuple[int, ...]] = {}
+        # arcs as a tree: character -> next node; at 0, the id of the piece that ends there
+        self.tree: dict = {}
+        for p, i in self.arcs.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[0] = i
+        self.neighbours = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
+        self.pairs: dict[int, bool] = {}
+        self.paths = _Memo(self._path)
+        self.stretches = _Memo(self._finite_path)
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -128,46 +158,64 @@ class Transducer:
 
     def _side_by_side(self, left: int, right: int) -> bool:
         """Whether the pair's weight is 0; ``left`` -1 stands for the beginning."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            b = self.pieces[right][0]
-            if left < 0:
-                found = self._merged(b) == [b]
-            else:
-                a = self.pieces[left][0]
-                found = self._merged(a + b) == [a, b]
-            self.pairs[key] = found
+        b = self.pieces[right][0]
+        if left < 0:
+            found = self._merged(b) == [b]
+        else:
+            a = self.pieces[left][0]
+            found = self._merged(a + b) == [a, b]
+        if len(self.pairs) > 2 * MEMO:
+            self.pairs.clear()
+        self.pairs[left << 32 | right] = found
         return found
 
+    def _path(self, word: str) -> tuple[int, ...]:
+        """The path of a word, put together from those of its stretches."""
+        if not self.merges:
+            return self._least_path(word)
+        joined, start = self.neighbours, 0
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return self._finite_path(word)
+        out: tuple[int, ...] = ()
+        for cut in [*cuts, len(word)]:
+            out += self.stretches[word[start:cut]]
+            start = cut
+        return out
+
     def _finite_path(self, word: str) -> tuple[int, ...]:
-        """Shortest path of a merge model: each position has one last arc on a finite path, or none."""
+        """Shortest path of a merge model: each position has one last arc on a finite path."""
         n = len(word)
         last: list[int | None] = [None] * (n + 1)  # -1: begin, or a character by bytes, which merges with nothing
-        size = [0] * (n + 1)
+        back = [0] * (n + 1)
         last[0] = -1
-        arcs = self.arcs
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                before = last[start]
-                if before is None:
-                    continue
-                piece = arcs.get(word[start:end])
-                if piece is not None:
-                    if self._side_by_side(before, piece):
-                        last[end], size[end] = piece, end - start
-                        break
-                elif end - start == 1:
-                    last[end], size[end] = -1, 1
+        tree, pairs = self.tree, self.pairs
+        for start in range(n):
+            before = last[start]
+            key = before << 32
+            node = tree.get(word[start])
+            if last[start + 1] is None and (node is None or 0 not in node):
+                last[start + 1], back[start + 1] = -1, start
+            end = start
+            while node is not None:
+                end += 1
+                if last[end] is None and 0 in node:
+                    piece = node[0]
+                    free = pairs.get(key | piece)
+                    if free is None:
+                        free = self._side_by_side(before, piece)
+                    if free:
+                        last[end], back[end] = piece, start
+                if end == n:
+                    break
+                node = node.get(word[end])
         out: list[int] = []
         while n:
             if last[n] == -1:
                 out += self._by_bytes(word[n - 1])[::-1]
             else:
                 out.append(last[n])
-            n -= size[n]
+            n = back[n]
         return tuple(out[::-1])
 
     def _least_path(self, word: str) -> tuple[int, ...]:
@@ -194,15 +242,7 @@ class Transducer:
 
     def encode(self, text: str | None) -> np.ndarray:
         words = self.parts.findall(self.normalise(text or ""))
-        paths = self.paths
-        if len(paths) > MEMO:
-            paths.clear()
-        for word in set(words).difference(paths):
-            paths[word] = self._finite_path(word) if self.merges else self._least_path(word)
-        found = np.fromiter(chain.from_iterable(map(paths.__getitem__, words)), np.int32)
-        if sum(map(len, words[:1])) > 10_000:  # a very long word is not worth remembering
-            paths.clear()
-        return found
+        return np.array(list(chain.from_iterable(map(self.paths.__getitem__, words))), np.int32)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join(map(self.texts.__getitem__, ids if isinstance(ids, list) else ids.tolist()))
