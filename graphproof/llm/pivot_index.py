@@ -190,3 +190,20 @@ def vector_links(vectors: DataFrame, scratch: Scratch | None = None) -> DataFram
 def op3_pivot_index(spark: SparkSession, folder: str) -> DataFrame:
     found = vector_links(table(spark, folder, "embeddings"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: All pairs; the index reaches the same links as far as its recall goes.
+OP3_SQL = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM valid a JOIN valid b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.9),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT e.vec_id, CAST((SELECT count(*) FROM links WHERE x = e.vec_id) AS BIGINT) AS n_links,
+  least(e.vec_id, coalesce((SELECT min(y) FROM reach WHERE x = e.vec_id), e.vec_id)) AS component_id,
+  least(e.vec_id, coalesce((SELECT min(y) FROM reach WHERE x = e.vec_id), e.vec_id)) = e.vec_id AS kept
+FROM embeddings e
+"""

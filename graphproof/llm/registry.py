@@ -27,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op3_pivot_index": pivot_index.OP3_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
+        "op9_jaccard_join": jaccard_join.OP9_SQL,
     }

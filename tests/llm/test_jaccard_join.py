@@ -71,6 +71,7 @@ def test_groups_equal_brute_force(spark, rule):
 def test_tiles_and_small_chunks_change_nothing(spark, monkeypatch):
     """Blocks over a tiny tile size; everything meets by class alone, so blocks are large and mixed."""
     monkeypatch.setattr(jaccard_join, "TILE", 7)
+    monkeypatch.setattr(jaccard_join, "sketch_of", lambda values, bits: bytes(bits // 8))
     monkeypatch.setattr(jaccard_join, "segment_hashes", lambda sets, rule: (
         np.array([5] * len(sets), np.uint64), np.arange(len(sets))))
     texts = corpus(9, 120)
@@ -121,3 +122,13 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5000, 5000)]
     got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "t").collect()
     assert {r.node: r.component for r in got} == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)}
+
+
+def test_sketches_never_differ_in_more_bits_than_sets(spark):
+    rng, rule = np.random.default_rng(2), Rule(4, 85)
+    for _ in range(300):
+        a = np.unique(rng.integers(1, 1 << 62, int(rng.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.8], rng.integers(1, 1 << 62, 30).astype(np.uint64)])
+        chunk = jaccard_join._Chunk(rule)
+        chunk.add([1, 2], [a, b], [jaccard_join.sketch_of(x, rule.sketch_bits(len(x))) for x in (a, b)])
+        assert chunk.distance(0, 1) <= len(np.setxor1d(a, b))

@@ -145,7 +145,8 @@ def test_queries_return_a_row_per_input_row(spark, name):
 def test_queries_equal_their_statements(spark, name):
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SAMPLE}/documents.parquet'")
+    for view in ("documents", "embeddings"):
+        connection.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SAMPLE}/{view}.parquet'")
     frame = registry.queries()[name](spark, SAMPLE)
     cursor = connection.execute(registry.oracle_sql()[name])
     names = [c[0] for c in cursor.description]
