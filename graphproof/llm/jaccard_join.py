@@ -207,7 +207,8 @@ class _Chunk:
         out_keys, out_docs, out_radius = [], [], []
         for start, end in zip(edges[:-1][~alone].tolist(), edges[1:][~alone].tolist(), strict=True):
             hubs: dict[int, int] = {}
-            for i in holder[start:end].tolist():
+            # short sketches first: a distance to the hub holds at the length of any later comparison with it
+            for i in sorted(holder[start:end].tolist(), key=lambda i: self.sketches[i][1]):
                 for hub in hubs:
                     d = known.get((i, hub))
                     if d is None:
@@ -215,7 +216,8 @@ class _Chunk:
                     if d <= self.rule.most_different(self.sizes[i], self.sizes[hub]):
                         # a larger set than its hub may differ in more from others than the hub may
                         larger = max(0, self.sizes[i] - self.sizes[hub])
-                        hubs[hub] = max(hubs[hub], d - -(larger * (100 - self.rule.percent) // -(100 + self.rule.percent)))
+                        grown = -(-larger * (100 - self.rule.percent) // (100 + self.rule.percent))
+                        hubs[hub] = max(hubs[hub], d + grown)
                         pairs.add((i, hub))
                         break
                 else:

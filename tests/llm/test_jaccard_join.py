@@ -132,3 +132,64 @@ def test_sketches_never_differ_in_more_bits_than_sets(spark):
         chunk = jaccard_join._Chunk(rule)
         chunk.add([1, 2], [a, b], [jaccard_join.sketch_of(x, rule.sketch_bits(len(x))) for x in (a, b)])
         assert chunk.distance(0, 1) <= len(np.setxor1d(a, b))
+
+
+def radii(chunk):
+    """(key, hub) -> the radius that a combined chunk grants."""
+    rows = [r for b in chunk.combined() for r in b.to_pylist() if r["kind"] == jaccard_join.SEGMENT]
+    return {(r["key"], r["doc"]): r["radius"] for r in rows}
+
+
+@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(5, 80)])
+def test_radius_keeps_the_links_of_the_represented(rule):
+    """A hub is as near to whatever its members link with as its radius grants; also where sketch lengths change."""
+    rng, seen = np.random.default_rng(4), 0
+    edges = [n for n in range(20, 700) if rule.sketch_bits(n) != rule.sketch_bits(n + 1)]
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    for turn in range(400):
+        n = int(rng.choice([1, 2, 8, 50, 100, 300])) if turn % 2 else int(rng.choice(edges)) + int(rng.integers(-2, 1))
+        i = np.unique(fresh(n))
+        few = lambda n: int(rng.integers(0, 2 + n // 8))
+        hub = np.unique(np.r_[i[few(n):], fresh(few(n))])
+        x = np.unique(np.r_[i[: len(i) - few(n)], fresh(few(n))])
+        if turn % 4 == 0:  # i alone has a short sketch, and both others are as far from it as links go
+            i = np.unique(fresh(int(rng.choice(edges))))
+            k = (rule.most_different(len(i), len(i) + 1) - 1) // 2
+            hub, x = np.unique(np.r_[i[k:], fresh(k + 1)]), np.unique(np.r_[i[: len(i) - k], fresh(k + 1)])
+        if not len(hub) or not rule.links(len(np.intersect1d(i, x)), len(i), len(x)):
+            continue
+        sets = [hub, i, x]
+        chunk = jaccard_join._Chunk(rule)
+        chunk.add([0, 1, 2], sets, [jaccard_join.sketch_of(s, rule.sketch_bits(len(s))) for s in sets])
+        pair = jaccard_join._Chunk(rule)
+        pair.docs, pair.sizes, pair.sketches = chunk.docs[:2], chunk.sizes[:2], chunk.sketches[:2]
+        pair.keys, pair.holders, pair.rows = [np.array([5, 5], np.uint64)], [np.array([0, 1])], 2
+        granted = radii(pair)
+        if len(granted) == 1:
+            (_, at), radius = granted.popitem()
+            seen += 1
+            assert chunk.distance(at, 2) <= rule.most_different(len(sets[at]), len(x)) + radius
+    assert seen > 50
+
+
+def test_link_of_a_represented_text_is_found():
+    """Texts of the review: i without its last word, i, and, in another partition, i with an inner word replaced."""
+    words = [f"w{k}" for k in range(53)]
+    found = []
+    for inner in range(10, 44):
+        texts = [" ".join(words[:-1]), " ".join(words), " ".join([*words[:inner], "new", *words[inner + 1:]])]
+        rule = Rule(4, 85)
+        sets = shingle_sets([t.encode() for t in texts], rule.words)
+        chunk = jaccard_join._Chunk(rule)
+        chunk.add([0, 1], sets[:2], [jaccard_join.sketch_of(s, rule.sketch_bits(len(s))) for s in sets[:2]])
+        other = jaccard_join._Chunk(rule)
+        other.add([2], sets[2:], [jaccard_join.sketch_of(sets[2], rule.sketch_bits(len(sets[2])))])
+        assert rule.links(len(np.intersect1d(sets[1], sets[2])), len(sets[1]), len(sets[2]))
+        whole = jaccard_join._Chunk(rule)
+        whole.sizes = [len(s) for s in sets]
+        whole.sketches = chunk.sketches + other.sketches
+        allowed = {key: whole.distance(hub, 2) <= rule.most_different(len(sets[hub]), len(sets[2])) + radius
+                   for (key, hub), radius in radii(chunk).items()}
+        shared = {key for key, _ in radii(other)}
+        found.append(any(near for key, near in allowed.items() if key in shared))
+    assert all(found)
