@@ -15,7 +15,8 @@ shingles. Pairs whose sketches differ in more bits than the threshold allows are
 combine their own rows first: sets with the same segment and near sketches are represented by one of them,
 with the largest distance to it as a radius that later comparisons grant (distances obey the triangle inequality, so
 nothing is lost). So a group of near copies costs a row per segment and task chunk. The components of
-candidate pairs are blocks: every link lies in one.
+candidate pairs are blocks: every link lies in one. A segment whose documents are not all near its first
+one has all of them compared, in cells of at most two tiles of documents.
 
 Search. Within a block each document, by size, is a query against inverted lists of the smaller ones.
 DivideSkip: the longest lists are set aside, the short ones are merged with a heap for documents that
@@ -91,11 +92,22 @@ class Rule:
             lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * CLASS_GROWTH)))
         return np.array(lows + [math.ceil(lows[-1] * CLASS_GROWTH)])
 
-    def segments(self, high: int) -> tuple[int, int]:
-        """Segments for sets up to size ``high``, and how many of them may be empty."""
-        differences = self.most_different(high, high)
-        slack = 1 + differences // 24
-        return differences + 1 + slack, slack
+    def segments(self, low: int, high: int) -> tuple[int, int]:
+        """Segments for the size class from ``low`` to ``high``, and how many of them may be empty.
+
+        They are as many as the smallest partner of the class is expected to leave empty, and a deviation.
+        """
+        differences, smallest = self.most_different(high, high), -(-self.percent * low // 100)
+        least = slack = 1 + differences // 24
+        while slack <= differences + least:
+            count = differences + 1 + slack
+            empty = count * (1 - 1 / count) ** smallest
+            needed = math.ceil(empty + math.sqrt(empty))
+            if needed <= slack:
+                return count, slack
+            slack = needed
+        # at low thresholds sets of many sizes share a class, and most segments of the small ones are empty
+        return differences + 1 + least, least
 
 
 def segment_hashes(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +125,8 @@ def segment_hashes(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.n
         for dealing in range(DEALINGS):
             if not len(todo):
                 break
-            plan = [rule.segments(int(lows[c + 1]) - 1) for c in size_class[todo]]
-            count, slack = np.array([p[0] for p in plan]), np.array([p[1] for p in plan])
+            plans = {c: rule.segments(int(lows[c]), int(lows[c + 1]) - 1) for c in set(size_class[todo].tolist())}
+            count, slack = np.array([plans[c] for c in size_class[todo].tolist()]).T
             base = np.cumsum(count) - count
             values = np.concatenate([sets[i] for i in todo])
             of = np.repeat(np.arange(len(todo)), sizes[todo])
@@ -315,23 +327,23 @@ def _near_pairs(rule: Rule):
 
 
 def _compatible(rule: Rule):
-    """Documents of a segment with sketches, sorted by key -> pairs that connect near sketches."""
+    """Documents with sketches, sorted by cell -> pairs that connect near sketches of a cell."""
 
     def pairs(docs: np.ndarray, sizes: np.ndarray, radius: np.ndarray, sketches: list[bytes]) -> np.ndarray:
         to = 8 * min(map(len, sketches))
         words = np.stack([
             np.frombuffer(_folded(int.from_bytes(s, "little"), 8 * len(s), to).to_bytes(to // 8, "little"), np.uint64) for s in sketches
         ])
-        label = np.arange(len(docs))
+        near = np.empty((len(docs), len(docs)), bool)
         block = max(1, 4_000_000 // (len(docs) * words.shape[1]))
+        for i in range(0, len(docs), block):
+            part = slice(i, i + block)
+            distance = np.bitwise_count(words[part, None] ^ words[None]).sum(axis=2, dtype=np.int64)
+            allowed = (sizes[part, None] + sizes[None]) * (100 - rule.percent) // (100 + rule.percent)
+            near[part] = distance <= allowed + radius[part, None] + radius[None]
+        label = np.arange(len(docs))
         while True:
-            new = label.copy()
-            for i in range(0, len(docs), block):
-                part = slice(i, i + block)
-                distance = np.bitwise_count(words[part, None] ^ words[None]).sum(axis=2, dtype=np.int64)
-                allowed = (sizes[part, None] + sizes[None]) * (100 - rule.percent) // (100 + rule.percent)
-                near = distance <= allowed + radius[part, None] + radius[None]
-                new[part] = np.minimum(new[part], np.where(near, label[None], len(docs)).min(axis=1))
+            new = np.minimum(label, np.where(near, label[None], len(docs)).min(axis=1))
             new = new[new]
             if (new == label).all():
                 break
@@ -343,7 +355,7 @@ def _compatible(rule: Rule):
         carried = None
 
         def take(rows: pa.RecordBatch) -> pa.RecordBatch:
-            keys = rows.column("key").to_numpy()
+            keys = rows.column("cell").to_numpy()
             docs, sizes, radius = (rows.column(c).to_numpy() for c in ("doc", "n", "radius"))
             sketches = rows.column("sketch").to_pylist()
             edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]).tolist()
@@ -353,10 +365,10 @@ def _compatible(rule: Rule):
 
         for batch in batches:
             if carried is not None:
-                batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+                batch = pa.concat_batches([carried, batch])
             if len(batch):
-                keys = batch.column("key").to_numpy()
-                start = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+                keys = batch.column("cell").to_numpy()
+                start = int(np.searchsorted(keys, keys[-1]))  # the last cell may go on
                 if start:
                     yield take(batch.slice(0, start))
                 carried = batch.slice(start)
@@ -525,6 +537,18 @@ def _search(rows: DataFrame, rule: Rule, sets_of: Sets) -> DataFrame:
     return dealt.mapInArrow(_searcher(rule, sets_of), "a long, b long")
 
 
+def _cells(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (cell, doc, n, radius, sketch) by cell; any two members of a key share a cell of at most two tiles."""
+    members = scratch.write(members.withColumn("at", F.xxhash64("doc", "sketch", "n", "key")), "members")
+    sized = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    wide = sized.filter("tiles > 1")
+    whole = members.join(wide, "key", "left_anti").select(F.col("key").alias("cell"), "doc", "n", "radius", "sketch")
+    tiled = members.join(wide, "key").withColumn("t", F.expr("CAST(pmod(at, tiles) AS INT)"))
+    tiled = tiled.withColumn("u", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tiled = tiled.select(F.xxhash64("key", F.least("t", "u"), F.greatest("t", "u")).alias("cell"), "doc", "n", "radius", "sketch")
+    return whole.union(tiled).repartition("cell").sortWithinPartitions("cell")
+
+
 def _candidates(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidate pairs (a, b), links of equal sets (a, b) and set sizes (doc, other) of the documents."""
     rows = docs.mapInArrow(_emitter(rule), ROWS)
@@ -548,8 +572,7 @@ def _candidates(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFram
     far = scratch.write(far, "far")
     mixed = stars.join(far, "key")
     members = mixed.select("key", F.explode(F.array("a", "b")).alias("doc"), "radius").groupBy("key", "doc").agg(F.max("radius").alias("radius"))
-    members = members.join(sketches, "doc").repartition("key").sortWithinPartitions("key")
-    more = members.mapInArrow(_compatible(rule), "a long, b long")
+    more = _cells(members.join(sketches, "doc"), scratch).mapInArrow(_compatible(rule), "a long, b long")
     pairs = kind(PAIR).select(*ends).union(judged.filter("near").select("a", "b")).union(more)
     return pairs, kind(LINK).select(*ends), kind(SIZE).select("doc", "other")
 

@@ -193,3 +193,34 @@ def test_link_of_a_represented_text_is_found():
         shared = {key for key, _ in radii(other)}
         found.append(any(near for key, near in allowed.items() if key in shared))
     assert all(found)
+
+
+@pytest.mark.parametrize("rule", [Rule(4, 85), Rule(5, 80)])
+def test_meeting_by_class_alone_is_an_exception(rule):
+    """Also for the smallest partners that a size class takes."""
+    rng = np.random.default_rng(6)
+    lows = rule.classes(3000)
+    for size in [250, 300, 400, 500, 700, 1000, 1500, 2000, 3000]:
+        sets = [np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64)) for _ in range(60)]
+        keys, _ = segment_hashes(sets, rule)
+        alone = np.isin(keys, jaccard_join.mix(np.arange(len(lows), dtype=np.uint64) + np.uint64(1 << 60)))
+        assert alone.sum() <= 6, size
+
+
+def test_members_of_a_far_key_are_dealt_into_cells(spark, monkeypatch):
+    """Everything meets by class alone and most of it is far: no group holds much more than two tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 20)
+    monkeypatch.setattr(jaccard_join, "segment_hashes", lambda sets, rule: (
+        np.array([5] * len(sets), np.uint64), np.arange(len(sets))))
+    whole = jaccard_join._compatible
+    def spied(rule):
+        run = whole(rule)
+        def both(batches):
+            for batch in batches:
+                counts = np.unique(batch.column("cell").to_numpy(), return_counts=True)[1]
+                assert counts.max(initial=0) <= 80
+                yield from run(iter([batch]))
+        return both
+    monkeypatch.setattr(jaccard_join, "_compatible", spied)
+    texts, rule = corpus(12, 200), Rule(5, 80)
+    assert groups(spark, texts, rule) == dict(enumerate(brute(texts, rule)))
