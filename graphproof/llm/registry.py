@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphproof.llm import exact_dedup, jaccard_join, line_dedup, mixing, pii, pivot_index, quality, sentencepiece_fst, token_counts, toxicity
+from graphproof.llm import (
+    conversation_repair, exact_dedup, jaccard_join, line_dedup, mixing, pii, pivot_index, quality, sentencepiece_fst, token_counts,
+    toxicity, url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_url_filter": url_filter.op13_url_filter,
     }
 
 
@@ -30,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_pivot_index": pivot_index.OP3_SQL,
         "op6_mix_sources": mixing.OP6_SQL,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
+        "op12_conversation_repair": conversation_repair.OP12_SQL,
+        "op13_url_filter": url_filter.OP13_SQL,
     }
