@@ -107,13 +107,6 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.try_divide(rest, F.octet_length(part)).cast("bigint")
 
 
-def quoted(text: Column) -> Column:
-    """``text`` as a literal inside a regular expression."""
-    return F.concat(
-        F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
-    )
-
-
 def path_parts(path: Column) -> Column:
     """Path components without empty and ``.`` parts."""
     return F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

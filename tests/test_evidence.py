@@ -1,9 +1,12 @@
 import random
+import time
 
 import pytest
 
 from graphproof import resolve_evidence
+from graphproof.functions.matching import FEW, LineIndex, match_quotes
 from graphproof.model import SELECTOR
+from graphproof.operators import evidence
 
 COLUMNS = (
     "src string, relation string, dst string, declaration string, decl_ordinal bigint, "
@@ -118,3 +121,78 @@ def test_one_source_quoted_by_most_selectors(spark):
     selectors += [sel("line 1.", source="b.txt")]
     rows = resolve(spark, files, selectors)
     assert [r["start_line"] for r in rows] == [i % 50 + 1 for i in range(3000)] + [1]
+
+
+def plain_matches(text, quote, prefix, suffix):
+    hits, fits, first, at = 0, 0, -1, text.find(quote)
+    while at >= 0:
+        hits += 1
+        if text[:at].endswith(prefix or "") and text[at + len(quote):].startswith(suffix or ""):
+            fits += 1
+            first = at if first < 0 else first
+        at = text.find(quote, at + len(quote))
+    return hits, fits, first
+
+
+@pytest.mark.parametrize("count", [1, FEW, FEW + 1, 300])
+def test_one_pass_finds_what_single_scans_find(count):
+    rng = random.Random(count)
+    word = lambda low, high: "".join(rng.choice("ab\nü") for _ in range(rng.randint(low, high)))
+    for _ in range(20):
+        text = word(0, 400)
+        probes = [(word(1, 5), rng.choice([None, word(0, 3)]), rng.choice([None, word(0, 3)])) for _ in range(count)]
+        assert match_quotes(text, probes) == [plain_matches(text, *p) for p in probes]
+
+
+def test_nested_quotes_in_one_automaton():
+    text = "a" * 50 + "b" + "a" * 7
+    probes = [("a" * n, None, suffix) for n in range(1, 12) for suffix in (None, "b")]
+    assert match_quotes(text, probes) == [plain_matches(text, *p) for p in probes]
+
+
+def test_lines_by_binary_search():
+    for text in ("", "\n", "\n\nx", "no end", "a\nbb\r\n\n" + "x" * 100_000 + "\n", "ü\n🦉\n"):
+        index = LineIndex(text)
+        assert [index.before(p) for p in range(min(len(text), 50) + 1)] == [text[:p].count("\n") for p in range(min(len(text), 50) + 1)]
+        assert index.before(len(text)) == text.count("\n")
+
+
+def test_lines_after_frontmatter_and_very_long_lines(spark):
+    files = {
+        "f.md": "---\na: b\n\n---\n\n\nfirst\n" + "long " * 60_000 + "owl\nlast owl",
+        "empty.md": "", "only.md": "---\nx: owl\n---\n",
+    }
+    rows = resolve(spark, files, [
+        sel("first", "f.md"), sel("owl\nlast", "f.md"), sel("owl", "f.md", prefix="last "), sel("\n\nfirst\nlong", "f.md"), sel("x", "empty.md"), sel("owl", "only.md"),
+    ])
+    assert [(r["state"], r["start_line"], r["end_line"]) for r in rows] == [
+        ("valid", 7, 7), ("valid", 8, 9), ("valid", 9, 9), ("valid", 5, 8), ("stale", None, None), ("stale", None, None),
+    ]
+
+
+def test_blocks_and_own_groups_change_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab \n") for _ in range(n))
+    files = {f"{i}.txt": word(rng.choice([0, 20, 3000])) for i in range(12)} | {"bad": None}
+    selectors = [(rng.choice([*files, "gone", "x/.."]), word(rng.randint(1, 4)), rng.choice([None, word(1)]), None, None) for _ in range(900)]
+    expected = resolve(spark, files, selectors)
+    for name, value in {"OWN_GROUP_BYTES": 1000, "GROUP_BYTES": 2000, "BLOCK_QUOTES": 10, "BLOCK_CHARS": 100}.items():
+        monkeypatch.setattr(evidence, name, value)
+    assert resolve(spark, files, selectors) == expected
+
+
+def test_a_hundred_thousand_quotes_of_one_source(spark, monkeypatch):
+    """Each quote is found, and the text is read once per block and not once per quote."""
+    text = "\n".join(f"entry {i:06d} of the long list" for i in range(33_000))
+    assert 900_000 < len(text) < 1_100_000
+    selectors = [sel(text[at : at + 32], hint=None) for at in range(0, 900_000, 9)]
+    assert len(selectors) == 100_000
+    begin = time.perf_counter()
+    rows = resolve(spark, {"a.txt": text}, selectors)
+    seconds = time.perf_counter() - begin
+    lines = LineIndex(text)
+    assert all(r["state"] == "valid" for r in rows)
+    assert [r["start_line"] for r in rows] == [1 + lines.before(at) for at in range(0, 900_000, 9)]
+    # the quotes make a few blocks; one scan of 1 MB per quote would take minutes
+    assert -(-100_000 // evidence.BLOCK_QUOTES) <= 4
+    assert seconds < 60
