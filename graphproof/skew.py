@@ -10,7 +10,7 @@ Copies of the lookup side are bounded as well: over all buckets there are at mos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
@@ -37,6 +37,11 @@ def hot_buckets(load: DataFrame, keys: list[str], weight: str | None = None) ->
     )
 
 
+def nothing_hot(spark: SparkSession) -> DataFrame:
+    """A bucket table for tables that are known to be small."""
+    return spark.range(0).selectExpr("CAST(id AS INT) AS hot_bucket", "CAST(id AS INT) AS hot_salts")
+
+
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,

@@ -30,7 +30,7 @@ from graphproof.operators.evidence import resolve_evidence
 from graphproof.operators.explain import explain
 from graphproof.operators.lookup import lookup
 from graphproof.operators.neighborhood import neighborhood
-from graphproof.operators.paths import shortest_paths
+from graphproof.operators.paths import shortest_lengths, shortest_paths
 from graphproof.operators.schema_rules import schema_rules
 from graphproof.operators.summary import open_verdicts, summarize
 from graphproof.plans.validation import ValidationReport, validate
@@ -223,17 +223,17 @@ def neighborhood_edges(spark, folder):
     return _neighborhood(spark, folder)[1].drop("decl_ordinal")
 
 
-def _paths(spark, folder):
+def _requested_paths(spark, folder):
     g = tb.graph(spark, folder)
-    return shortest_paths(tb.schema(spark), g.entities, g.edges, tb.pairs(spark, folder))
+    return tb.schema(spark), g.entities, g.edges, tb.pairs(spark, folder)
 
 
 def shortest_path(spark, folder):
-    return _paths(spark, folder)[0]
+    return shortest_lengths(*_requested_paths(spark, folder))
 
 
 def shortest_path_steps(spark, folder):
-    return _paths(spark, folder)[1]
+    return shortest_paths(*_requested_paths(spark, folder))[1]
 
 
 def explain_query(spark, folder):

@@ -7,6 +7,9 @@ import pytest
 
 from graphproof import Scratch, lookup, neighborhood, shortest_paths
 from graphproof.operators.cycles import cycle_nodes, cycle_verdicts, relation_edges, residue
+from graphproof.operators.frontier import places
+from graphproof.operators.neighborhood import distances
+from graphproof.operators.paths import _Request
 from graphproof.skew import hot_buckets, lookup_join
 from graphproof.sources.schema import (
     RELATIONS_TABLE,
@@ -217,3 +220,45 @@ def test_lookup_join_splits_hot_keys_and_keeps_every_row(spark):
         want = fact.join(dim, "k", how)
         assert got.count() == want.count()
         assert got.exceptAll(want.select(got.columns)).isEmpty()
+
+
+def test_many_roots_share_their_levels(spark):
+    """Roots around a few hubs: far fewer level rows than reached pairs of root and node."""
+    arcs = [(f"leaf{i:03d}", "r", f"hub{i % 3}") for i in range(384)] + [("hub0", "r", "hub1"), ("hub1", "r", "hub2")]
+    starts = spark.createDataFrame([(f"leaf{i:03d}", 1 + i % 3) for i in range(384)], "start string, depth int")
+    levels, placed = distances(make_edges(spark, arcs), starts, Scratch(spark, "test"))
+    rows = levels.count()
+    reached = {}
+    for r in places(levels, "node", "level").join(placed, ["grp", "place"]).collect():
+        reached.setdefault(r["start"], {})[r["node"]] = r["level"]
+    near = {}
+    for a, _, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for i in range(384):
+        at, seen = {f"leaf{i:03d}"}, {}
+        for level in range(4):
+            for node in at:
+                seen.setdefault(node, level)
+            at = {n for node in at for n in near[node]} - set(seen)
+        got = reached[f"leaf{i:03d}"]
+        # shorter depths are cut off later, by request; a start may go on while others of its group do
+        assert {n: d for n, d in got.items() if d <= 1 + i % 3} == {n: d for n, d in seen.items() if d <= 1 + i % 3}
+    assert rows * 10 <= sum(map(len, reached.values()))
+
+
+def test_a_lonely_goal_ends_the_flood(spark):
+    """The side with the smaller frontier goes first, so a goal that nothing leads to costs its own row only."""
+    arcs = [(f"a{i:02d}", "r", f"a{j:02d}") for i in range(40) for j in range(40) if i != j] + [("far", "r", "a00"), ("a39", "r", "end")]
+    nodes = sorted({n for a, _, b in arcs for n in (a, b)} | {"lonely"})
+    schema = make_schema(spark, [("r", False, False)])
+    pairs = [(f"{n}>lonely", n, "lonely") for n in nodes if n != "lonely"]
+    scratch = Scratch(spark, "test")
+    asked = lambda rows: spark.createDataFrame(rows, "request_id string, from string, to string")
+    request = _Request(schema, make_entities(spark, nodes), make_edges(spark, arcs), asked(pairs), scratch)
+    assert {r["found"] for r in request.results().collect()} == {False}
+    assert request.ends.forward.level == 0 and request.ends.backward.levels().count() == 1
+    assert request.steps().count() == 0
+    results, steps = shortest_paths(schema, make_entities(spark, nodes), make_edges(spark, arcs), asked([("x", "far", "end"), *pairs[:2]]))
+    assert {r["request_id"]: r["hops"] for r in results.collect()} == {"x": 3, pairs[0][0]: None, pairs[1][0]: None}
+    assert [(r["src"], r["dst"]) for r in steps.orderBy("hop").collect()] == [("far", "a00"), ("a00", "a39"), ("a39", "end")]
