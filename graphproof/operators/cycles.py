@@ -1,9 +1,9 @@
 """Cycle check of acyclic relations.
 
-A node can run into a cycle exactly when it has outgoing walks of every length. Each step
-keeps the nodes with an edge into the kept set; when a block of steps removes nothing, the kept nodes
-are those that reach a cycle. Inside this residue every node has a successor, so following
-the least successor from the least node must close a loop, which is the witness.
+A node can run into a cycle exactly when it has outgoing walks of every length. Nodes without a way on are peeled off
+and chains of nodes with a single way on are contracted by pointer doubling, until nothing more goes; the nodes
+left, and those contracted into them, are the ones that reach a cycle. Inside this residue every node has a successor, so
+following the least successor from the least node must close a loop, which is the witness.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from graphproof.fixed_values import (
 )
 from graphproof.model import GraphSchema
 from graphproof.session import Scratch
-from graphproof.skew import hot_buckets, lookup_join
+from graphproof.skew import lookup_join
 from graphproof.verdicts import Rule, emit, fill, text, when
 
 PHASE = 7
-STEPS_PER_BLOCK = 6
 
 
 def relation_edges(schema: GraphSchema, valid_edges: DataFrame) -> DataFrame:
@@ -42,33 +41,63 @@ def relation_edges(schema: GraphSchema, valid_edges: DataFrame) -> DataFrame:
 def residue(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges between nodes from which a cycle can be reached, for all relations at once.
 
-    A relation leaves the loop with the first block that takes nothing from it or leaves it empty, so
-    rounds carry only the arcs of relations that still change.
+    Each round drops the arcs into nodes without a way on, then contracts the nodes with a single way on: such a node shares
+    the fate of the first node with several ways, or none, that its chain leads to. A relation from which a round drops nothing is
+    settled: there every node has a successor that is left, so all of them reach a cycle. Rounds carry only the arcs of
+    relations that still change, and the nodes that several ways leave.
     """
-    arcs = scratch.write(edges, "arcs-0")
-    hot = scratch.write(hot_buckets(arcs, ["relation", "dst"]), "hot")
-    counts = scratch.write(_per_relation(arcs), "counts-0")
-    settled, block = [], 0
-
-    def leading_to(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
-        targets = nodes.withColumnRenamed("node", "dst")
-        return lookup_join(
-            arcs, targets, ["relation", "dst"], spread=["src"], how="left_semi", hot=hot
-        )
-
+    whole = scratch.write(edges, "arcs")
+    arcs, counts = whole, scratch.write(_per_relation(whole), "counts-0")
+    settled, chains, round_ = [], [], 0
     while not counts.isEmpty():
-        block += 1
-        alive = arcs.select("relation", F.col("src").alias("node")).distinct()
-        for _ in range(STEPS_PER_BLOCK - 1):
-            alive = leading_to(arcs, alive).select("relation", F.col("src").alias("node")).distinct()
-        left = scratch.write(leading_to(arcs, alive), f"left-{block}")
+        round_ += 1
+        going_on = arcs.select("relation", F.col("src").alias("dst")).distinct()
+        left = lookup_join(arcs, going_on, ["relation", "dst"], spread=["src"], how="left_semi")
+        left = scratch.write(left, f"left-{round_}")
         now = _per_relation(left)
-        changed = counts.join(now, ["relation", "n"], "left_anti").select("relation")
-        still = scratch.write(now.join(changed, "relation", "left_semi"), f"counts-{block}")
-        settled.append(scratch.write(left.join(still, "relation", "left_anti"), f"settled-{block}"))
-        arcs = scratch.write(left.join(still, "relation", "left_semi"), f"arcs-{block}")
-        counts = still
-    return functools.reduce(DataFrame.unionByName, settled, arcs)
+        changed = scratch.write(now.join(counts, ["relation", "n"], "left_anti"), f"changed-{round_}")
+        settled.append(left.join(changed, "relation", "left_anti").select("relation", F.col("src").alias("node")))
+        arcs, chain = _contracted(left.join(changed, "relation", "left_semi"), scratch, round_)
+        chains.append(chain)
+        counts = scratch.write(_per_relation(arcs), f"counts-{round_}")
+    if not settled:
+        return whole
+    alive = scratch.write(functools.reduce(DataFrame.unionByName, settled).distinct(), "alive")
+    for i, chain in reversed(list(enumerate(chains))):  # nodes that were contracted, the last round's first
+        if chain is not None:
+            ends = alive.withColumnRenamed("node", "next")
+            saved = lookup_join(chain, ends, ["relation", "next"], spread=["node"], how="left_semi")
+            alive = scratch.write(alive.unionByName(saved.select("relation", "node")), f"alive-{i}")
+    ends = alive.withColumnRenamed("node", "dst")
+    return lookup_join(whole, ends, ["relation", "dst"], spread=["src"], how="left_semi").select("relation", "src", "dst")
+
+
+def _contracted(arcs: DataFrame, scratch: Scratch, round_: int) -> tuple[DataFrame, DataFrame | None]:
+    """``arcs`` without the nodes that have a single way on, and where these lead: ``(relation, node, next)``.
+
+    Chains are followed by pointer doubling. A step that resolves no further node shows that the open ones run into
+    a cycle of such nodes (a chain has nodes at every distance from its end); they stay as they are.
+    """
+    ways = arcs.groupBy("relation", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next"))
+    single = scratch.write(ways.filter("n = 1").select("relation", "node", "next", F.lit(True).alias("open")), f"single-{round_}")
+    if single.isEmpty():
+        return scratch.write(arcs, f"arcs-{round_}"), None
+    jump, before, doubled = single, None, 0
+    while True:
+        further = jump.select("relation", F.col("node").alias("next"), F.col("next").alias("after"))
+        jump = lookup_join(jump.drop("open"), further, ["relation", "next"], spread=["node"]).select(
+            "relation", "node", F.coalesce("after", "next").alias("next"), F.col("after").isNotNull().alias("open")
+        )
+        jump = scratch.write(jump, f"jump-{round_}-{doubled}")
+        open_ = jump.filter("open").count()
+        if open_ in (0, before):
+            break
+        before, doubled = open_, doubled + 1
+    chain = jump.filter("NOT open").drop("open")
+    rest = arcs.join(chain.select("relation", F.col("node").alias("src")), ["relation", "src"], "left_anti")
+    ends = chain.select("relation", F.col("node").alias("dst"), F.col("next").alias("end"))
+    moved = lookup_join(rest, ends, ["relation", "dst"], spread=["src"]).select("relation", "src", F.coalesce("end", "dst").alias("dst"))
+    return scratch.write(moved.distinct(), f"arcs-{round_}"), chain
 
 
 def _per_relation(arcs: DataFrame) -> DataFrame:

@@ -262,3 +262,52 @@ def test_a_lonely_goal_ends_the_flood(spark):
     results, steps = shortest_paths(schema, make_entities(spark, nodes), make_edges(spark, arcs), asked([("x", "far", "end"), *pairs[:2]]))
     assert {r["request_id"]: r["hops"] for r in results.collect()} == {"x": 3, pairs[0][0]: None, pairs[1][0]: None}
     assert [(r["src"], r["dst"]) for r in steps.orderBy("hop").collect()] == [("far", "a00"), ("a00", "a39"), ("a39", "end")]
+
+
+def plain_residue(arcs):
+    alive = {a for a, _ in arcs}
+    while True:
+        left = {a for a, b in arcs if a in alive and b in alive}
+        if left == alive:
+            return {(a, b) for a, b in arcs if a in alive and b in alive}
+        alive = left
+
+
+def counted(scratch):
+    names, write = [], scratch.write
+    scratch.write = lambda df, name: (names.append(name), write(df, name))[1]
+    return names
+
+
+def residue_of(spark, arcs):
+    scratch = Scratch(spark, "test")
+    names = counted(scratch)
+    rows = residue(spark.createDataFrame(arcs, "relation string, src string, dst string"), scratch).collect()
+    assert len(rows) == len(set(rows))
+    return {tuple(r) for r in rows}, len(names)
+
+
+def test_residue_of_chains_cycles_and_random_graphs(spark):
+    rng = random.Random(12)
+    graphs = {
+        "chain": [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)],
+        "into a loop": [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("040", "030")],
+        "loop with a tail": [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")],
+        "self": [("a", "a"), ("b", "a"), ("a", "c")],
+        "ladder": [(f"{i:02d}", f"{i + k:02d}") for i in range(9) for k in (1, 2)],
+        "tree": [(f"{i}", f"{i // 2}") for i in range(1, 60)],
+        "diamond": [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d")],
+    }
+    for n in range(12):
+        nodes = [f"n{i}" for i in range(rng.randint(2, 14))]
+        graphs[f"random {n}"] = sorted({(rng.choice(nodes), rng.choice(nodes)) for _ in range(rng.randint(1, 16))})
+    found, _ = residue_of(spark, [(name, a, b) for name, arcs in graphs.items() for a, b in arcs])
+    for name, arcs in graphs.items():
+        assert {(a, b) for r, a, b in found if r == name} == plain_residue(arcs), name
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
+    chain = lambda n: [("r", f"{i:05d}", f"{i + 1:05d}") for i in range(n)]
+    (short, few), (long, more) = residue_of(spark, chain(16)), residue_of(spark, chain(2048))
+    assert not short and not long
+    assert more - few <= 7 + 1  # 128 times as long
