@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphproof.model import Graph
+from graphproof.operators.order import with_position
+from graphproof.session import Scratch
 
 
 def entities_of(docs_meta: DataFrame) -> DataFrame:
@@ -42,12 +44,16 @@ def compile_graph(docs_meta: DataFrame) -> Graph:
     return Graph(entities_of(docs_meta), edges_of(docs_meta))
 
 
-def ordered_entities(entities: DataFrame) -> DataFrame:
-    return entities.orderBy("id", "document")
+def ordered_entities(entities: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Entities with their ``position`` in canonical order."""
+    scratch = scratch or Scratch(entities.sparkSession, "order")
+    return with_position(entities, ["id", "document"], scratch, "entities")
 
 
-def ordered_edges(edges: DataFrame) -> DataFrame:
-    return edges.orderBy("src", "relation", "dst", "declaration", "decl_ordinal")
+def ordered_edges(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Edges with their ``position`` in canonical order; the place in the declaration decides between equal connections."""
+    scratch = scratch or Scratch(edges.sparkSession, "order")
+    return with_position(edges, ["src", "relation", "dst", "declaration", "decl_ordinal"], scratch, "edges")
 
 
 def selectors_of(edges: DataFrame) -> DataFrame:

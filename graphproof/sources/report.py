@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphproof.verdicts import ordered
+from graphproof.operators.order import with_position
+from graphproof.session import Scratch
 
 
 def verdict_json(keep_nulls: bool = False) -> Column:
@@ -44,11 +45,18 @@ def decision_json() -> Column:
     )
 
 
+def report_rows(verdicts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Verdicts with their ``position`` in the canonical order of the report, and as ``json``."""
+    scratch = scratch or Scratch(verdicts.sparkSession, "report")
+    placed = with_position(verdicts, ["sort_key", "code"], scratch, "report").drop("sort_key")
+    return placed.withColumn("json", verdict_json())
+
+
 def write_validation(report, path: str, fmt: str = "json") -> None:
-    """Write a validation report whole: its verdicts in canonical order and the witnesses of any length.
+    """Write a validation report whole: its verdicts with their positions in canonical order, and the witnesses of any length.
 
     The long witnesses are tables of their own: ``cardinality_assertions`` and ``cycle_nodes``.
     """
-    write_report(ordered(report.verdicts).drop("sort_key"), f"{path}/verdicts", fmt)
+    write_report(report_rows(report.verdicts).drop("json"), f"{path}/verdicts", fmt)
     write_report(report.cardinality_assertions, f"{path}/cardinality_assertions", fmt)
     write_report(report.cycle_nodes, f"{path}/cycle_nodes", fmt)

@@ -661,6 +661,26 @@ def _rules() -> dict[str, str]:
               split_part(split_part(witness, ' | ', 1), '>', 2), '"},') ELSE '' END,
             '{"kind":"declaration","path":"', split_part(witness, 'declaration>', 2), '"}]}') AS json
           FROM entity_verdicts""",
+        "report_rows": _with(SCHEMA, FAULTY_ENTITIES, ENTITY_VERDICTS, CYCLIC_EDGES, CYCLES, recursive=True) + f"""
+          SELECT row_number() OVER (ORDER BY phase, key, document, code <> 'entity.invalid_id', code) AS position,
+            concat('{{"status":"', status, '","code":"', code, '","subject":"', subject, '","message":"', message,
+              '","witness":[', CASE WHEN path <> '' THEN concat('{{"kind":"schema","path":"', path, '"}}') ELSE '' END,
+              CASE WHEN path <> '' AND document <> '' THEN ',' ELSE '' END,
+              CASE WHEN document <> '' THEN concat('{{"kind":"declaration","path":"', document, '"}}') ELSE '' END, ']}}') AS json
+          FROM (
+            SELECT 4 AS phase, subject AS key, status, code, subject, message, split_part(witness, 'declaration>', 2) AS document,
+              CASE WHEN starts_with(witness, 'schema>') THEN split_part(split_part(witness, ' | ', 1), '>', 2) ELSE '' END AS path
+            FROM entity_verdicts
+            UNION ALL
+            SELECT 7, d.relation, CASE WHEN c.relation IS NULL THEN 'satisfied' ELSE 'violated' END,
+              CASE WHEN c.relation IS NULL THEN 'relation.acyclic' ELSE 'relation.cycle' END, concat('relation:', d.relation),
+              CASE WHEN c.relation IS NULL THEN {_say("relation.acyclic")} ELSE {_say("relation.cycle", "d.relation")} END, '',
+              concat('schema.yaml:relations.', d.relation, '.acyclic')
+            FROM declared d LEFT JOIN (SELECT DISTINCT relation FROM looping) c ON c.relation = d.relation)""",
+        "entity_order": _with(SCHEMA, FAULTY_ENTITIES)
+        + "SELECT id, document, row_number() OVER (ORDER BY id, document) AS position FROM entities",
+        "edge_order": _with(*_EDGE_GRAPH) + """
+          SELECT src, relation, dst, declaration, row_number() OVER (ORDER BY src, relation, dst, declaration) AS position FROM edges""",
         "edge_rules": edge_rules + f"SELECT {_COLUMNS} FROM edge_verdicts",
         "open_verdicts": edge_rules
         + f"SELECT {_COLUMNS} FROM edge_verdicts WHERE status <> 'satisfied'",

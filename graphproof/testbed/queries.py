@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphproof.functions.text import lookup_key, newlines, normalize_text
-from graphproof.operators.adjacency import directed, undirected
+from graphproof.operators.adjacency import CONNECTION, directed, undirected
 from graphproof.operators.cardinality import cardinality_assertions, cardinality_rules
-from graphproof.operators.compile import edges_of, entities_of, selectors_of
+from graphproof.operators.compile import edges_of, entities_of, ordered_edges, ordered_entities, selectors_of
 from graphproof.operators.cycles import (
     cycle_nodes,
     cycle_verdicts,
@@ -36,7 +36,7 @@ from graphproof.operators.summary import open_verdicts, summarize
 from graphproof.plans.validation import ValidationReport, validate
 from graphproof.session import Scratch
 from graphproof.sources.frontmatter import parse_documents
-from graphproof.sources.report import verdict_json
+from graphproof.sources.report import report_rows, verdict_json
 from graphproof.testbed import tables as tb
 
 
@@ -338,6 +338,22 @@ def report_json(spark, folder):
     return verdicts.select(verdict_json().alias("json"))
 
 
+def entity_order(spark, folder):
+    return ordered_entities(tb.entities_with_faults(spark, folder)).select("id", "document", "position")
+
+
+def edge_order(spark, folder):
+    return ordered_edges(tb.edges_with_faults(spark, folder)).select(*CONNECTION, "position")
+
+
+def report_rows_query(spark, folder):
+    """Entity and cycle verdicts as one report, with positions."""
+    verdicts = entity_rules(tb.schema(spark), tb.entities_with_faults(spark, folder))
+    residual = _residue(spark, folder, Scratch(spark, "cycles"))
+    verdicts = verdicts.unionByName(cycle_verdicts(tb.cycle_schema(spark), residual))
+    return report_rows(verdicts).select("position", "json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compile_entities": compile_entities,
     "compile_edges": compile_edges,
@@ -370,4 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_summary": report_summary,
     "open_verdicts": open_verdicts_query,
     "report_json": report_json,
+    "entity_order": entity_order,
+    "edge_order": edge_order,
+    "report_rows": report_rows_query,
 }
