@@ -114,8 +114,12 @@ DEFAULT_LIMIT = 10
 
 # fixed values: decision protocol
 DECISION_VERSION = 1
+DECISION_SECONDS = 30
+DECISION_BYTES = 65_536
 DECISION_TASK = "select_entity"
 DECISION_ERRORS = {
     "confidence": "decision adapter confidence must be finite and within 0..=1",
+    "timeout": "decision adapter '{}' timed out after {} seconds",
+    "too_long": "decision adapter '{}' exceeded {} bytes",
     "outside": "decision adapter returned entity '{}' outside the candidate set",
 }

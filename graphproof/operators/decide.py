@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import json
 import math
+import queue
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphproof.fixed_values import DECISION_ERRORS, DECISION_TASK, DECISION_VERSION
+from graphproof.fixed_values import DECISION_BYTES, DECISION_ERRORS, DECISION_SECONDS, DECISION_TASK, DECISION_VERSION
 from graphproof.model import fill
 from graphproof.operators.lookup import exact_matches, keyed_entities, needles_of
 from graphproof.session import Scratch
@@ -76,33 +78,73 @@ def build_requests(requests: DataFrame) -> DataFrame:
     )
 
 
+class _Caller:
+    """Calls a decider with a deadline.
+
+    Calls run one after another in a thread of their own. A call that misses its deadline is left behind with its thread,
+    which ends with the worker at the latest, and the next call gets a new thread.
+    """
+
+    def __init__(self, decider: Callable[[str], str | None], seconds: float, most_bytes: int):
+        self.decider, self.seconds, self.most_bytes = decider, seconds, most_bytes
+        self.name = getattr(decider, "__name__", type(decider).__name__)
+        self.calls: queue.SimpleQueue | None = None
+
+    @staticmethod
+    def _serve(decider: Callable, calls: queue.SimpleQueue, answers: queue.SimpleQueue) -> None:
+        while (request := calls.get()) is not None:
+            try:
+                answers.put((decider(request), None))
+            except BaseException as error:  # noqa: BLE001 - reported per request; SystemExit too must not end the thread
+                answers.put((None, str(error) or type(error).__name__))
+
+    def __call__(self, request: str) -> tuple[str | None, str | None]:
+        """(response, failure)"""
+        if self.calls is None:
+            self.calls, self.answers = queue.SimpleQueue(), queue.SimpleQueue()
+            threading.Thread(target=self._serve, args=(self.decider, self.calls, self.answers), daemon=True).start()
+        self.calls.put(request)
+        try:
+            response, failure = self.answers.get(timeout=self.seconds)
+        except queue.Empty:
+            self.calls.put(None)  # should it ever come back
+            self.calls = None
+            return None, DECISION_ERRORS["timeout"].format(self.name, f"{self.seconds:g}")
+        if isinstance(response, str) and len(response.encode("utf-8", "replace")) > self.most_bytes:
+            return None, DECISION_ERRORS["too_long"].format(self.name, self.most_bytes)
+        return response, failure
+
+    def close(self) -> None:
+        if self.calls is not None:
+            self.calls.put(None)
+
+
 def decide(
     requests: DataFrame,
     decider: Callable[[str], str | None],
     entities: DataFrame,
     scratch: Scratch | None = None,
+    seconds: float = DECISION_SECONDS,
+    most_bytes: int = DECISION_BYTES,
 ) -> DataFrame:
     """Ask ``decider`` for each ``request``, once; ``(query_id, response, failure)``.
 
-    The decider runs inside the tasks. What it raises becomes the ``failure`` of that row. The
+    The decider runs inside the tasks. What it raises becomes the ``failure`` of that row, and so does an answer that takes
+    longer than ``seconds`` or has more than ``most_bytes`` bytes; the other requests go on. The
     answers are written before they are returned, so reading them again asks nobody; only a task
     that Spark runs again repeats its calls. Without entities there is no set to choose from and nobody is asked.
     """
     scratch = scratch or Scratch(requests.sparkSession, "decide")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            responses, failures = [], []
-            for request in batch["request"]:
-                try:
-                    responses.append(decider(request))
-                    failures.append(None)
-                except Exception as error:  # noqa: BLE001 - reported per request
-                    responses.append(None)
-                    failures.append(str(error) or type(error).__name__)
-            yield pd.DataFrame(
-                {"query_id": batch["query_id"], "response": responses, "failure": failures}
-            )
+        caller = _Caller(decider, seconds, most_bytes)
+        try:
+            for batch in batches:
+                answers = [caller(request) for request in batch["request"]]
+                responses, failures = zip(*answers, strict=True) if answers else ((), ())
+                yield pd.DataFrame({"query_id": batch["query_id"], "response": list(responses), "failure": list(failures)})
+        finally:
+            caller.close()
 
     asked = requests.filter(F.lit(False)) if entities.isEmpty() else requests
     answers = asked.select("query_id", "request").mapInPandas(

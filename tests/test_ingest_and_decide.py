@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -167,3 +168,29 @@ def test_lost_and_repeated_answers_are_errors(spark):
     )
     rows = {r["query_id"]: r["error"] for r in check_answers(requests, candidates, entities, answers).collect()}
     assert rows == {1: SEVERAL_ANSWERS, 2: NO_ANSWER}
+
+
+def test_a_hanging_or_endless_decider_costs_its_own_request_only(spark):
+    entities = spark.createDataFrame([("a", "T", "A", [], "1.md")], ENTITY)
+    texts = ["hang", "long", "exit", "raise", *(f"fine {i}" for i in range(6))]
+    lookups = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, text string").coalesce(1)
+    requests, candidates = escalate(entities, lookups)
+
+    def decider(request):
+        text = json.loads(request)["query"]
+        if text == "hang":
+            time.sleep(600)
+        if text == "exit":
+            raise SystemExit("gone")
+        if text == "raise":
+            raise ValueError("no")
+        return '{"entity_id": "a"}' + " " * (100 if text == "long" else 0)
+
+    begin = time.perf_counter()
+    answers = decide(build_requests(requests), decider, entities, seconds=1.5, most_bytes=60)
+    rows = {r["query_id"]: (r["entity_id"], r["error"]) for r in check_answers(requests, candidates, entities, answers).collect()}
+    assert time.perf_counter() - begin < 120
+    assert rows[0] == (None, "decision adapter 'decider' timed out after 1.5 seconds")
+    assert rows[1] == (None, "decision adapter 'decider' exceeded 60 bytes")
+    assert rows[2] == (None, "gone") and rows[3] == (None, "no")
+    assert all(rows[i] == ("a", None) for i in range(4, 10))
