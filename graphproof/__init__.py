@@ -11,7 +11,7 @@ from graphproof.operators.evidence import resolve_evidence
 from graphproof.operators.explain import explain
 from graphproof.operators.lookup import lookup
 from graphproof.operators.neighborhood import neighborhood
-from graphproof.operators.paths import shortest_paths
+from graphproof.operators.paths import shortest_lengths, shortest_paths
 from graphproof.operators.summary import open_verdicts, require_valid, summarize
 from graphproof.plans.validation import ValidationReport, validate
 from graphproof.plans.workspace import Workspace, compile_workspace
@@ -27,7 +27,7 @@ __all__ = [
     "check_answers", "compile_graph", "compile_workspace", "decide", "escalate", "explain",
     "lookup", "neighborhood", "open_verdicts", "ordered", "parse_documents", "read_corpus",
     "read_schema", "read_sources", "require_valid", "resolve_evidence", "schema_from_tables",
-    "schema_from_yaml", "selectors_of", "shortest_paths", "summarize", "to_json_rows",
+    "schema_from_yaml", "selectors_of", "shortest_lengths", "shortest_paths", "summarize", "to_json_rows",
     "decision_json", "validate", "write_report", "write_validation",
 ]
 
