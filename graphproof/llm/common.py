@@ -65,9 +65,18 @@ def within(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     Keys are hashed into a fixed number of buckets; the distinct buckets of ``wanted`` are broadcast
     (at most FILTER_BUCKETS ints). Rows that share only the bucket pass too; an exact join follows.
     """
+    return _by_bucket(df, keys, wanted, "left_semi")
+
+
+def without(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The other rows of ``df``: those that ``within`` leaves out, none of which has a key of ``wanted``."""
+    return _by_bucket(df, keys, wanted, "left_anti")
+
+
+def _by_bucket(df: DataFrame, keys: list[str], wanted: DataFrame, how: str) -> DataFrame:
     bucket = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BUCKETS)).cast("int").alias("_llm_bucket")
     buckets = wanted.select(bucket).distinct()
-    return df.withColumn("_llm_bucket", bucket).join(F.broadcast(buckets), "_llm_bucket", "left_semi").drop("_llm_bucket")
+    return df.withColumn("_llm_bucket", bucket).join(F.broadcast(buckets), "_llm_bucket", how).drop("_llm_bucket")
 
 
 def fetch_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
