@@ -311,3 +311,25 @@ def test_rounds_grow_with_the_logarithm_of_a_chain(spark):
     (short, few), (long, more) = residue_of(spark, chain(16)), residue_of(spark, chain(2048))
     assert not short and not long
     assert more - few <= 7 + 1  # 128 times as long
+
+
+def test_connections_are_compared_for_all_roots_of_a_group_at_once(spark):
+    roots = [f"r{i:02}" for i in range(40)]
+    arcs = [("a", "r", "b")] + [(root, "r", end) for root in roots for end in "ab"]
+    requests = spark.createDataFrame(
+        [(f"{root}-{depth}", root, depth) for root in roots for depth in (0, 1)], "request_id string, root string, depth int"
+    )
+    scratch = Scratch(spark, "test")
+    _, connections, _ = neighborhood(make_entities(spark, [*roots, "a", "b"]), make_edges(spark, arcs), requests, scratch)
+    got = {}
+    for row in connections.collect():
+        got.setdefault(row["request_id"], set()).add((row["src"], row["dst"]))
+    assert got == {f"{root}-1": {("a", "b"), (root, "a"), (root, "b")} for root in roots}
+    groups = scratch.read("starts").select("grp").distinct().count()
+    assert scratch.read("inside").filter("src = 'a' AND dst = 'b'").count() == groups < len(roots)
+
+
+def test_places_of_all_bits(spark):
+    rows = spark.createDataFrame([(1, -1, "all"), (2, -(2**63) + 256, "two"), (3, 0, "none")], "grp long, bits long, name string")
+    got = sorted(tuple(r) for r in places(rows, "name").collect())
+    assert got == [(1, "all", i) for i in range(64)] + [(2, "two", 8), (2, "two", 63)]
