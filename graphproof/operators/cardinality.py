@@ -14,7 +14,7 @@ from graphproof.fixed_values import (
 )
 from graphproof.model import GraphSchema
 from graphproof.model import fill as fill_column
-from graphproof.skew import lookup_join
+from graphproof.skew import lookup_join, schema_join
 from graphproof.verdicts import Rule, emit, fill, text, when
 
 PHASE = 6
@@ -40,7 +40,9 @@ def cardinality_rules(
     The witness holds the constraint; the counted assertions, which may be any number, are
     the rows of :func:`cardinality_assertions`.
     """
-    checks = entities.select("id", "kind", "document").join(_constraints(schema), "kind")
+    checks = schema_join(
+        entities.select("id", "kind", "document"), _constraints(schema), ["kind"], spread=["id", "document"], how="inner"
+    )
     counts = degree_counts(valid_edges).withColumnRenamed("src", "id")
     counted = (
         lookup_join(checks, counts, ["id", "relation"], spread=["document"])
@@ -72,10 +74,9 @@ def cardinality_assertions(
 
     Long form on purpose: a hub may have any number of edges, which no single row should hold.
     """
-    shaped = (
-        entities.select(F.col("id").alias("src"), "kind")
-        .distinct()
-        .join(_constraints(schema).select("kind", "relation"), "kind")
+    shaped = schema_join(
+        entities.select(F.col("id").alias("src"), "kind").distinct(), _constraints(schema).select("kind", "relation"),
+        ["kind"], spread=["src"], how="inner",
     )
     matched = lookup_join(
         valid_edges.select("src", "relation", "dst", "declaration", "decl_ordinal"),

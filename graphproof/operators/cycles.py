@@ -22,7 +22,7 @@ from graphproof.fixed_values import (
 )
 from graphproof.model import GraphSchema
 from graphproof.session import Scratch
-from graphproof.skew import lookup_join
+from graphproof.skew import lookup_join, schema_join
 from graphproof.verdicts import Rule, emit, fill, text, when
 
 PHASE = 7
@@ -31,11 +31,8 @@ PHASE = 7
 def relation_edges(schema: GraphSchema, valid_edges: DataFrame) -> DataFrame:
     """Distinct ``(relation, src, dst)`` of the relations declared acyclic."""
     acyclic = schema.relations.filter("acyclic").select("relation")
-    return (
-        valid_edges.select("relation", "src", "dst")
-        .join(acyclic, "relation", "left_semi")
-        .distinct()
-    )
+    arcs = valid_edges.select("relation", "src", "dst")
+    return schema_join(arcs, acyclic, ["relation"], spread=["src", "dst"], how="left_semi").distinct()
 
 
 def residue(edges: DataFrame, scratch: Scratch) -> DataFrame:

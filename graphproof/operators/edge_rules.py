@@ -24,7 +24,7 @@ from graphproof.operators.compile import selectors_of
 from graphproof.operators.entity_rules import last_declarations
 from graphproof.operators.evidence import resolve_evidence
 from graphproof.session import Scratch
-from graphproof.skew import lookup_join
+from graphproof.skew import lookup_join, schema_join
 from graphproof.verdicts import (
     Rule,
     assertion_witness,
@@ -67,7 +67,7 @@ def linked_edges(schema: GraphSchema, entities: DataFrame, edges: DataFrame) ->
         .when(F.col("declared").isNull(), F.lit("edge.unknown_relation"))
     )
     swap = F.col("symmetric") & (F.col("src") > F.col("dst"))
-    return linked.join(contract, "relation", "left").select(
+    return schema_join(linked, contract, ["relation"], spread=["declaration", "decl_ordinal"]).select(
         *edges.columns, "src_kind", "dst_kind",
         fault.alias("fault"),
         F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("end_a"),

@@ -1,10 +1,16 @@
 """Joins that split crowded keys give the rows of plain joins, and split them."""
 
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from graphproof import skew
+from graphproof.operators.adjacency import directed
+from graphproof.operators.cardinality import cardinality_rules
+from graphproof.operators.entity_rules import entity_rules
 from graphproof.skew import two_sided_join
+from graphproof.sources.schema import RELATIONS_TABLE, schema_from_tables
 
 
 def test_both_sides_may_crowd(spark):
@@ -37,3 +43,38 @@ def test_a_next_node_shared_by_all_starts_is_split(spark):
             spark.conf.set(k, v)
     assert sum(per_task.values()) == 20_000
     assert len(per_task) > 40 and max(per_task.values()) < 5 * 20_000 / 64
+
+
+def test_rows_of_one_relation_are_not_dealt_by_it(spark, monkeypatch):
+    """A schema has few keys: dealt by them, the rows of a relation would meet in one task."""
+    many = spark.range(20_000).selectExpr("CAST(id AS STRING) AS src", "'r' AS relation", "id AS number").repartition(8, "number")
+    declared = spark.createDataFrame([("r", True), ("unused", False)], "relation string, acyclic boolean")
+    for how in ("left", "left_semi", "inner"):
+        want = many.join(declared, ["relation"], how)
+        joined = skew.schema_join(many, declared, ["relation"], spread=["src"], how=how)
+        assert joined.columns == want.columns
+        assert joined.exceptAll(want).count() == 0 and joined.count() == 20_000
+        assert joined.select(F.spark_partition_id()).distinct().count() == 8
+    monkeypatch.setattr(skew, "FEW_KEYS", 1)  # a schema too large to be broadcast
+    large = skew.schema_join(many, declared, ["relation"], spread=["src"])
+    assert large.exceptAll(many.join(declared, ["relation"], "left")).count() == 0 and large.count() == 20_000
+
+
+def test_entities_of_one_type_are_not_dealt_by_it(spark):
+    entities = spark.range(20_000).selectExpr(
+        "concat('e', id) AS id", "'T' AS kind", "'t' AS title", "array('') AS aliases", "concat(id, '.md') AS document"
+    )
+    schema = schema_from_tables(
+        spark.createDataFrame([("T", None)], "type string, description string"),
+        spark.createDataFrame([("r", None, ["*"], ["*"], False, True)], RELATIONS_TABLE),
+        spark.createDataFrame([("T", "r", 1, 2)], "type string, relation string, min bigint, max bigint"),
+    )
+    edges = entities.selectExpr(
+        "id AS src", "'r' AS relation", "id AS dst", "document AS declaration", "CAST(0 AS BIGINT) AS decl_ordinal", "aliases AS evidence"
+    )
+    keys = {"kind": (cardinality_rules(schema, entities, edges), entity_rules(schema, entities)), "relation": (directed(schema, edges),)}
+    for key, frames in keys.items():
+        for frame in frames:  # not by the key alone
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(rf"hashpartitioning\({key}#\d+, \d", plan)
+            assert frame.count() == 20_000
