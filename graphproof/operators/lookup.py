@@ -21,6 +21,8 @@ from graphproof.skew import lookup_join
 ENTITY = ["id", "kind", "title", "aliases", "document"]
 KEYS = ["id_key", "title_key", "alias_keys", "key_text"]
 ROW = ["id", "document"]
+#: Hash buckets of the anchors that are broadcast.
+PREFILTER = 1 << 18
 
 
 def keyed_entities(entities: DataFrame) -> DataFrame:
@@ -78,6 +80,14 @@ def _entity_grams(keyed: DataFrame, sizes: list[int]) -> DataFrame:
     return keyed.select(*ROW, F.explode(grams).alias("gram"))
 
 
+def _maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, dropped before any shuffle. The hash buckets of the
+    wanted keys are broadcast, at most ``PREFILTER`` numbers whatever the data; an exact join has to follow."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(PREFILTER)).cast("int").alias("bucket")
+    buckets = wanted.select(bucket).distinct()
+    return rows.select("*", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
+
+
 def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataFrame:
     """``(needle, rank, entity columns)`` for every match, exact or by substring.
 
@@ -109,14 +119,16 @@ def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataF
         .filter(F.col("n") > 0),
         "anchors",
     )
-    # the gram rows are the split side, so their own counts say which grams are crowded
+    # most grams are no anchor and stay where they are; the gram rows left are the split side, so their own
+    # counts say which grams are crowded
+    load = counts.join(anchors.select("gram").distinct(), "gram", "left_semi")
     proposed = lookup_join(
-        grams, anchors.select("gram", "needle"), ["gram"], spread=ROW, how="inner",
-        load=counts, weight="n",
+        _maybe_among(grams, anchors, "gram"), anchors.select("gram", "needle"), ["gram"], spread=ROW, how="inner",
+        load=load, weight="n",
     )
-    met = lookup_join(
-        proposed.select("needle", *ROW).distinct(), keyed, ROW, spread=["needle"], how="inner"
-    ).filter(F.contains(F.col("key_text"), F.col("needle")))
+    # written, or the count of crowded rows would find all of them again
+    pairs = scratch.write(proposed.select("needle", *ROW).distinct(), "pairs")
+    met = lookup_join(pairs, keyed, ROW, spread=["needle"], how="inner").filter(F.contains(F.col("key_text"), F.col("needle")))
     needle = F.col("needle")
     inside = (
         F.contains(F.col("id_key"), needle)

@@ -9,6 +9,7 @@ from graphproof import skew
 from graphproof.operators.adjacency import directed
 from graphproof.operators.cardinality import cardinality_rules
 from graphproof.operators.entity_rules import entity_rules
+from graphproof.operators.lookup import _maybe_among
 from graphproof.skew import two_sided_join
 from graphproof.sources.schema import RELATIONS_TABLE, schema_from_tables
 
@@ -78,3 +79,12 @@ def test_entities_of_one_type_are_not_dealt_by_it(spark):
             plan = frame._jdf.queryExecution().executedPlan().toString()
             assert not re.search(rf"hashpartitioning\({key}#\d+, \d", plan)
             assert frame.count() == 20_000
+
+
+def test_grams_that_are_no_anchor_are_dropped_before_the_join(spark):
+    grams = spark.range(50_000).selectExpr("CAST(id AS STRING) AS id", "concat('g', id) AS gram")
+    wanted = spark.range(100).selectExpr("concat('g', id * 7) AS gram", "id AS needle")
+    left = _maybe_among(grams, wanted, "gram")
+    assert left.columns == grams.columns
+    assert left.join(wanted, "gram").count() == 100
+    assert left.count() < 200
