@@ -3,6 +3,7 @@ except Unicode normalization, which hands only the texts that may need it to Pyt
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -26,6 +27,8 @@ _COMPOSED_RANGES = (
     r"\x{1F300}-\x{1FAFF}"  # pictographs
 )
 NEEDS_COMPOSING = f"[^{_COMPOSED_RANGES}]"
+#: All characters with the property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(T.StringType())
@@ -35,12 +38,13 @@ def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.StringType())
 def _compose_each(lists: pd.Series) -> pd.Series:
+    """Lists of texts as JSON: Spark weighs an Arrow list column anew after each row, which takes the square of a batch."""
     if lists.isna().all():
         return lists
     return lists.map(
-        lambda texts: [None if t is None else unicodedata.normalize("NFC", t) for t in texts],
+        lambda texts: json.dumps([None if t is None else unicodedata.normalize("NFC", t) for t in json.loads(texts)], ensure_ascii=False),
         na_action="ignore",
     )
 
@@ -50,11 +54,14 @@ def normalize_newlines(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def _suspicious(text: Column) -> Column:
+    """Whether composing may change the text; ASCII is told by its length."""
+    return (F.octet_length(text) != F.length(text)) & text.rlike(NEEDS_COMPOSING)
+
+
 def compose(text: Column) -> Column:
     """Unicode NFC. Texts that are composed already pass by without leaving the JVM."""
-    ascii_only = F.octet_length(text) == F.length(text)
-    suspicious = F.when(ascii_only, F.lit(None)).when(text.rlike(NEEDS_COMPOSING), text)
-    return F.coalesce(_compose(suspicious), text)
+    return F.coalesce(_compose(F.when(_suspicious(text), text)), text)
 
 
 def normalize_text(text: Column) -> Column:
@@ -64,8 +71,8 @@ def normalize_text(text: Column) -> Column:
 
 def trim_unicode(text: Column) -> Column:
     """Strip Unicode white space at both ends."""
-    # a run inside the text is looked at once, from its start
-    return F.regexp_replace(text, r"(?U)\A\s+|(?<!\s)\s++\z", "")
+    # only characters at the ends are looked at; a pattern would be tried at each character of each row
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def lookup_key(text: Column) -> Column:
@@ -76,8 +83,9 @@ def lookup_key(text: Column) -> Column:
 def lookup_keys(texts: Column) -> Column:
     """:func:`lookup_key` of every element of an array."""
     trimmed = F.transform(texts, trim_unicode)
-    suspicious = F.when(F.exists(trimmed, lambda t: t.rlike(NEEDS_COMPOSING)), trimmed)
-    return F.transform(F.coalesce(_compose_each(suspicious), trimmed), F.lower)
+    suspicious = F.when(F.exists(trimmed, _suspicious), F.to_json(trimmed))
+    composed = F.from_json(_compose_each(suspicious), T.ArrayType(T.StringType()))
+    return F.transform(F.coalesce(composed, trimmed), F.lower)
 
 
 def is_machine_key(text: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphproof.fixed_values import DECISION_BYTES, DECISION_ERRORS, DECISION_SECONDS, DECISION_TASK, DECISION_VERSION
 from graphproof.model import fill
-from graphproof.operators.lookup import exact_matches, keyed_entities, needles_of
+from graphproof.operators.lookup import exact_matches, keyed_entities, listed_keys, needles_of
 from graphproof.session import Scratch
 from graphproof.skew import lookup_join
 
@@ -40,8 +40,9 @@ def escalate(
     """
     scratch = scratch or Scratch(entities.sparkSession, "escalate")
     needles = scratch.write(needles_of(lookups), "needles")
-    keyed = scratch.write(keyed_entities(entities), "keyed")
-    exact = scratch.write(exact_matches(keyed, needles), "exact")
+    # written, or the count of crowded keys would list them all again
+    keys = scratch.write(listed_keys(keyed_entities(entities)), "keys")
+    exact = scratch.write(exact_matches(keys, needles), "exact")
     counts = exact.groupBy("needle").agg(F.count(F.lit(1)).alias("exact_count"))
     requests = (
         lookup_join(needles, counts, ["needle"], spread=["query_id"])

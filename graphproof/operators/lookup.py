@@ -44,23 +44,28 @@ def match_kind(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in MATCH_KINDS]), rank + 1)
 
 
-def exact_matches(keyed: DataFrame, needles: DataFrame) -> DataFrame:
-    """``(needle, rank, entity columns)`` for needles equal to an id, title or alias.
-
-    Each distinct key of an entity row is listed once, under its best rank.
-    """
+def listed_keys(keyed: DataFrame) -> DataFrame:
+    """``(needle, rank, entity columns)``: each distinct key of an entity row once, under its best rank."""
+    none = F.array().cast("array<struct<rank:int,needle:string>>")
     listed = F.concat(
         F.array(F.struct(F.lit(0).alias("rank"), F.col("id_key").alias("needle"))),
         F.when(
             F.col("title_key") != F.col("id_key"),
             F.array(F.struct(F.lit(1).alias("rank"), F.col("title_key").alias("needle"))),
-        ).otherwise(F.array().cast("array<struct<rank:int,needle:string>>")),
-        F.transform(
-            F.array_except(F.array_distinct("alias_keys"), F.array("id_key", "title_key")),
-            lambda key: F.struct(F.lit(2).alias("rank"), key.alias("needle")),
-        ),
+        ).otherwise(none),
+        F.when(
+            F.size("alias_keys") > 0,
+            F.transform(
+                F.array_except(F.array_distinct("alias_keys"), F.array("id_key", "title_key")),
+                lambda key: F.struct(F.lit(2).alias("rank"), key.alias("needle")),
+            ),
+        ).otherwise(none),
     )
-    rows = keyed.select(*ENTITY, F.inline(listed))
+    return keyed.select(*ENTITY, F.inline(listed)).select("needle", "rank", *ENTITY)
+
+
+def exact_matches(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """``(needle, rank, entity columns)`` of the listed keys that equal a needle."""
     wanted = needles.filter(F.col("needle") != "").select("needle").distinct()
     return lookup_join(rows, wanted, ["needle"], spread=ROW, how="inner").select(
         "needle", "rank", *ENTITY
