@@ -12,7 +12,7 @@ one path is finite. For a unigram model an arc weighs its negative score and pai
 
 Two neighbouring characters that are neighbours in no piece of a merge model are a cut that no path
 crosses, so paths are searched between cuts; workers keep found paths of words and of the stretches
-between cuts in memos of bounded size. Texts are taken whole.
+between cuts, packed, in memos of bounded size. Texts are taken whole.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows
 repeat; columns of the input named like the results are replaced; an empty table gives no rows.
@@ -20,10 +20,10 @@ repeat; columns of the input named like the results are replaced; an empty table
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from graphproof.llm.common import table
 
 SPACE = "▁"
-#: Words, stretches and pairs that a worker remembers in the newer half of a memo before the older one goes.
-MEMO = 250_000
+#: Words and stretches that a worker remembers in the newer half of a memo before the older one goes, and pairs at most.
+MEMO, PAIRS = 250_000, 500_000
 #: Characters that are encoded before a batch of rows is handed on.
 BATCH_CHARS = 4_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
@@ -73,17 +73,17 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class _Memo(dict):
     """Results of a function; when the newer half is full the older one goes. Long keys aren't kept."""
 
-    def __init__(self, function: Callable[[str], tuple[int, ...]]):
-        self.function = function
-        self.older: dict[str, tuple[int, ...]] = {}
+    def __init__(self, function: Callable[[str], bytes], half: int):
+        self.function, self.half = function, half
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         found = self.older.get(key)
         if found is None:
             found = self.function(key)
             if len(key) > 100:
                 return found
-        if len(self) >= MEMO:
+        if len(self) >= self.half:
             self.older = dict(self)
             self.clear()
         self[key] = found
@@ -91,9 +91,9 @@ class _Memo(dict):
 
 
 class Transducer:
-    """The compiled model; made once per task from the content of the model file."""
+    """The compiled model; made once per task from the content of the model file. Paths are packed 32-bit ids."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, memo: int = MEMO):
         self.pieces: list[tuple[str, float, int]] = []
         trainer, normaliser = {}, {}
         for number, value in _fields(model):
@@ -133,8 +133,8 @@ class Transducer:
             node[0] = i
         self.neighbours = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
-        self.paths = _Memo(self._path)
-        self.stretches = _Memo(self._finite_path)
+        self.paths = _Memo(self._path, memo)
+        self.stretches = _Memo(self._finite_path, memo)
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -164,12 +164,12 @@ class Transducer:
         else:
             a = self.pieces[left][0]
             found = self._merged(a + b) == [a, b]
-        if len(self.pairs) > 2 * MEMO:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[left << 32 | right] = found
         return found
 
-    def _path(self, word: str) -> tuple[int, ...]:
+    def _path(self, word: str) -> bytes:
         """The path of a word, put together from those of its stretches."""
         if not self.merges:
             return self._least_path(word)
@@ -177,13 +177,13 @@ class Transducer:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
         if not cuts:
             return self._finite_path(word)
-        out: tuple[int, ...] = ()
+        out = []
         for cut in [*cuts, len(word)]:
-            out += self.stretches[word[start:cut]]
+            out.append(self.stretches[word[start:cut]])
             start = cut
-        return out
+        return b"".join(out)
 
-    def _finite_path(self, word: str) -> tuple[int, ...]:
+    def _finite_path(self, word: str) -> bytes:
         """Shortest path of a merge model: each position has one last arc on a finite path."""
         n = len(word)
         last: list[int | None] = [None] * (n + 1)  # -1: begin, or a character by bytes, which merges with nothing
@@ -216,9 +216,9 @@ class Transducer:
             else:
                 out.append(last[n])
             n = back[n]
-        return tuple(out[::-1])
+        return struct.pack(f"={len(out)}i", *out[::-1])
 
-    def _least_path(self, word: str) -> tuple[int, ...]:
+    def _least_path(self, word: str) -> bytes:
         """Shortest path of a unigram model."""
         n = len(word)
         best, back = [0.0] + [_INF] * n, [(0, -1)] * (n + 1)
@@ -234,7 +234,7 @@ class Transducer:
             start, piece = back[n]
             out += [piece] if piece >= 0 else self._by_bytes(word[start])[::-1]
             n = start
-        return tuple(out[::-1])
+        return struct.pack(f"={len(out)}i", *out[::-1])
 
     def _by_bytes(self, char: str) -> list[int]:
         raw = char.encode("utf-8", "replace")
@@ -242,7 +242,7 @@ class Transducer:
 
     def encode(self, text: str | None) -> np.ndarray:
         words = self.parts.findall(self.normalise(text or ""))
-        return np.array(list(chain.from_iterable(map(self.paths.__getitem__, words))), np.int32)
+        return np.frombuffer(b"".join(map(self.paths.__getitem__, words)), np.int32)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         raw = b"".join(map(self.texts.__getitem__, ids if isinstance(ids, list) else ids.tolist()))
@@ -251,6 +251,14 @@ class Transducer:
         return raw.decode("utf-8", "replace")
 
 
+def _give_back() -> None:
+    """Memory that earlier work of this worker left unused goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _read(model_file: str) -> bytes:
     with open(model_file, "rb") as f:  # an installed file, read by the driver only
         return f.read()
@@ -261,14 +269,18 @@ def _appended(docs: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in docs.schema.fields if f.name not in names] + list(fields))
 
 
-def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
-    """``docs`` with ``piece_ids`` of the text and ``decoded``, the text that the pieces give back."""
+def encode_decode(docs: DataFrame, model_file: str, memo: int = MEMO) -> DataFrame:
+    """``docs`` with ``piece_ids`` of the text and ``decoded``, the text that the pieces give back.
+
+    A smaller ``memo`` takes less memory of a worker and more of its time; the pieces are the same.
+    """
     content = _read(model_file)
     schema = _appended(docs, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()))
     names = [f.name for f in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(content)
+        _give_back()
+        transducer = Transducer(content, memo)
 
         def encoded(rows: pa.RecordBatch, ids: list, texts: list) -> pa.RecordBatch:
             offsets = pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32())
@@ -290,6 +302,12 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
                     start, chars, ids, texts = i + 1, 0, [], []
             if ids:
                 yield encoded(batch.slice(start, len(ids)), ids, texts)
+        # the worker is kept for later tasks; methods that memos hold make a cycle, so the memos are cleared by hand
+        for kept in (transducer.paths, transducer.stretches):
+            kept.clear()
+            kept.older.clear()
+        transducer.pairs.clear()
+        _give_back()
 
     return docs.mapInArrow(run, schema)
 

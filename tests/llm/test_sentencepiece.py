@@ -46,3 +46,15 @@ def test_real_documents_equal_the_library(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=FILE)
     for r in encode_decode(frame, FILE).collect():
         assert r.piece_ids == library.encode(r.text) and r.decoded == r.text
+
+
+def test_small_memos_hold_little_and_change_nothing():
+    """What a worker remembers is bounded by its memo and packed; the pieces don't depend on it."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("aeioulmnrst漢é", k=draw.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=40)) for _ in range(200)]
+    large, small = Transducer(_read(FILE)), Transducer(_read(FILE), 50)
+    assert all(large.encode(t).tolist() == small.encode(t).tolist() for t in texts)
+    for memo in (small.paths, small.stretches):
+        assert len(memo) <= 50 and len(memo.older) <= 50
+        assert all(isinstance(path, bytes) for path in memo.values())
