@@ -7,6 +7,7 @@ import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,15 +28,24 @@ _COMPOSED_RANGES = (
     r"\x{1F300}-\x{1FAFF}"  # pictographs
 )
 NEEDS_COMPOSING = f"[^{_COMPOSED_RANGES}]"
+#: Texts that a worker composes at once.
+COMPOSED = 64
 #: All characters with the property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
-@F.pandas_udf(T.StringType())
-def _compose(texts: pd.Series) -> pd.Series:
-    if texts.isna().all():  # nothing in this batch needs composing
+def _composed(texts: pa.Array) -> pa.Array:
+    if texts.null_count == len(texts):  # nothing in this batch needs composing
         return texts
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    # few texts at a time are Python's; a whole batch of them takes several times the memory of its Arrow column
+    parts = [
+        pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.slice(i, COMPOSED).to_pylist()], texts.type)
+        for i in range(0, len(texts), COMPOSED)
+    ]
+    return pa.concat_arrays(parts)
+
+
+_compose = F.arrow_udf(_composed, T.StringType())
 
 
 @F.pandas_udf(T.StringType())

@@ -101,3 +101,20 @@ def test_path_predicates(spark):
     assert column(spark, values, tx.path_key)[0] == "a/b/c"
     assert column(spark, values, tx.is_absolute) == [False, True, False, False, False, False]
     assert column(spark, values, tx.leaves_root) == [False, False, True, False, True, False]
+
+
+def test_few_texts_are_composed_at_once():
+    """A batch of 4,000 texts of 10 KB: Python's copies of them stay small beside the batch; nulls stay null."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from graphproof.functions.text import _composed
+
+    texts = pa.array([None if i % 10 == 0 else "é" + "漢" * 3000 for i in range(4000)], pa.string())
+    tracemalloc.start()
+    out = _composed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [None if i % 10 == 0 else "é" + "漢" * 3000 for i in range(4000)]
+    assert peak < 5_000_000
