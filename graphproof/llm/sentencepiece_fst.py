@@ -20,7 +20,6 @@ repeat; columns of the input named like the results are replaced; an empty table
 
 from __future__ import annotations
 
-import ctypes
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphproof.llm.common import table
+from graphproof.llm.common import lean, table
 
 SPACE = "▁"
 #: Words and stretches that a worker remembers in the newer half of a memo before the older one goes, and pairs at most.
@@ -251,14 +250,6 @@ class Transducer:
         return raw.decode("utf-8", "replace")
 
 
-def _give_back() -> None:
-    """Memory that earlier work of this worker left unused goes back to the system."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _read(model_file: str) -> bytes:
     with open(model_file, "rb") as f:  # an installed file, read by the driver only
         return f.read()
@@ -279,7 +270,6 @@ def encode_decode(docs: DataFrame, model_file: str, memo: int = MEMO) -> DataFra
     names = [f.name for f in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _give_back()
         transducer = Transducer(content, memo)
 
         def encoded(rows: pa.RecordBatch, ids: list, texts: list) -> pa.RecordBatch:
@@ -307,9 +297,8 @@ def encode_decode(docs: DataFrame, model_file: str, memo: int = MEMO) -> DataFra
             kept.clear()
             kept.older.clear()
         transducer.pairs.clear()
-        _give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode_pieces(frame: DataFrame, model_file: str, ids: str = "piece_ids") -> DataFrame:

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphproof.llm.common import table
+from graphproof.llm.common import lean, listed, table
 from graphproof.session import Scratch
 
 #: Expected labelled rows that train the model, at most; terms of the lexicon, at most.
@@ -346,12 +347,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, scra
 def toxicity(model: Model) -> callable:
     """A column function: text -> probability that it is toxic."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(list(model.terms))
         for texts in batches:
-            x = np.array([scanner.features(t or "") for t in texts]).reshape(len(texts), -1)
-            yield pd.Series(model.probability(x))
+            x = np.array([scanner.features(t or "") for t in listed(texts)]).reshape(len(texts), -1)
+            yield pa.array(model.probability(x))
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(scores)(batches)
 
     return score
 

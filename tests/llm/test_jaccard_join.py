@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -224,3 +225,25 @@ def test_members_of_a_far_key_are_dealt_into_cells(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_compatible", spied)
     texts, rule = corpus(12, 200), Rule(5, 80)
     assert groups(spark, texts, rule) == dict(enumerate(brute(texts, rule)))
+
+
+def test_tasks_hold_and_send_little_at_once(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"word{i}" for i in range(3000)], k=250)).encode() for _ in range(900)]
+    tracemalloc.start()
+    sets = shingle_sets(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(map(len, texts))
+    assert all((a == b).all() for a, b in zip(sets, (shingle_sets([t], 5)[0] for t in texts), strict=True))
+
+    def segments():
+        chunk = jaccard_join._Chunk(Rule())
+        chunk.add(list(range(50)), sets[:50], [jaccard_join.sketch_of(s, 512) for s in sets[:50]])
+        return [b for b in chunk.combined()]
+
+    whole = segments()
+    monkeypatch.setattr(jaccard_join, "SENT_ROWS", 1000)
+    parts = segments()
+    assert max(len(b) for b in parts) <= 1000
+    assert [r for b in parts for r in b.to_pylist()] == [r for b in whole for r in b.to_pylist()]
