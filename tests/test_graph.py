@@ -4,11 +4,13 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from graphproof import Scratch, lookup, neighborhood, shortest_paths
 from graphproof.operators.cycles import cycle_nodes, cycle_verdicts, relation_edges, residue
-from graphproof.operators.frontier import places
-from graphproof.operators.neighborhood import distances
+from graphproof.operators import frontier
+from graphproof.operators.frontier import Search, places
+from graphproof.operators.neighborhood import distances, neighborhood_connections, neighborhood_nodes
 from graphproof.operators.paths import _Request
 from graphproof.skew import hot_buckets, lookup_join
 from graphproof.sources.schema import (
@@ -333,3 +335,34 @@ def test_places_of_all_bits(spark):
     rows = spark.createDataFrame([(1, -1, "all"), (2, -(2**63) + 256, "two"), (3, 0, "none")], "grp long, bits long, name string")
     got = sorted(tuple(r) for r in places(rows, "name").collect())
     assert got == [(1, "all", i) for i in range(64)] + [(2, "two", 8), (2, "two", 63)]
+
+
+def test_nodes_and_connections_are_found_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"n{i:02}" for i in range(30)]
+    entities, edges = make_entities(spark, names), make_edges(spark, random_arcs(rng, names, ["r"], 60) + [("n00", "r", "n01")] * 5)
+    requests = spark.createDataFrame([(n, n, i % 4) for i, n in enumerate(names)], "request_id string, root string, depth int")
+    nodes, connections, _ = neighborhood(entities, edges, requests)
+    monkeypatch.setattr(frontier, "FEW_ROWS", 0)  # from here on arcs are thinned and shuffle files freed in each step
+    of_nodes, of_edges = Scratch(spark, "nodes"), Scratch(spark, "edges")
+    alone = neighborhood_nodes(entities, edges, requests, of_nodes)
+    assert sorted(alone.collect()) == sorted(nodes.collect())
+    alone = neighborhood_connections(entities, edges, requests, of_edges)
+    assert sorted(alone.collect()) == sorted(connections.collect())
+    with pytest.raises(AnalysisException):
+        of_nodes.read("inside")
+    for gone in ("members", "ends"):
+        with pytest.raises(AnalysisException):
+            of_edges.read(gone)
+
+
+def test_a_step_shuffles_the_arcs_of_its_frontier_alone(spark, monkeypatch):
+    monkeypatch.setattr(frontier, "FEW_ROWS", 0)
+    arcs = spark.range(5000).selectExpr("CAST(id AS STRING) AS node", "CAST(id + 1 AS STRING) AS next")
+    starts = spark.createDataFrame([("7", 0, 0), ("9", 0, 1)], "start string, grp long, place int")
+    met, join = [], frontier.two_sided_join
+    monkeypatch.setattr(frontier, "two_sided_join", lambda left, *rest, **more: met.append(left.count()) or join(left, *rest, **more))
+    search = Search(Scratch(spark, "test"), "near", arcs, starts)
+    search.step()
+    assert {(r.node, r.bits) for r in search.frontier.collect()} == {("8", 1), ("10", 2)}
+    assert met[0] < 10
