@@ -3,8 +3,8 @@
 Exact matches are an equi-join on normalized keys. Substring matches are found through an
 anchor: of the grams of a needle (six letters, three for needles under six, the needle itself
 under three) the one that the fewest entities have. Entities are joined with the anchors on the gram
-and the full containment is verified on the joined row, so no needle meets an entity that lacks its
-rarest gram.
+and the full containment is verified on the entity's row, so no needle meets an entity that lacks its
+rarest gram. Entity rows are numbered and only their numbers travel with grams and needles.
 """
 
 from __future__ import annotations
@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 
 from graphproof.fixed_values import DEFAULT_LIMIT, MATCH_KINDS
 from graphproof.functions.text import lookup_key, lookup_keys
-from graphproof.session import Scratch
-from graphproof.skew import lookup_join
+from graphproof.session import Scratch, free_shuffles
+from graphproof.skew import lookup_join, within
 
 ENTITY = ["id", "kind", "title", "aliases", "document"]
 KEYS = ["id_key", "title_key", "alias_keys", "key_text"]
 ROW = ["id", "document"]
-#: Hash buckets of the anchors that are broadcast.
-PREFILTER = 1 << 18
 
 
 def keyed_entities(entities: DataFrame) -> DataFrame:
@@ -79,25 +77,22 @@ def _grams(text: Column, size: Column) -> Column:
 
 
 def _entity_grams(keyed: DataFrame, sizes: list[int]) -> DataFrame:
-    """The identity of each entity row beside each distinct gram of its keys. Grams that span two
+    """The number of each entity row beside each distinct gram of its keys. Grams that span two
     keys add rows that the containment check drops."""
     grams = F.flatten(F.array(*[_grams(F.col("key_text"), F.lit(size)) for size in sizes]))
-    return keyed.select(*ROW, F.explode(grams).alias("gram"))
+    return keyed.select("row", F.explode(grams).alias("gram"))
 
 
 def _maybe_among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose ``key`` is not in ``wanted``, dropped before any shuffle. The hash buckets of the
-    wanted keys are broadcast, at most ``PREFILTER`` numbers whatever the data; an exact join has to follow."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(PREFILTER)).cast("int").alias("bucket")
-    buckets = wanted.select(bucket).distinct()
-    return rows.select("*", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, dropped before any shuffle; an exact join has to follow."""
+    return within(rows, [key], wanted)
 
 
 def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(needle, rank, entity columns)`` for every match, exact or by substring.
+    """``(needle, rank, row, entity columns)`` for every match, exact or by substring.
 
-    Only identities travel with grams, and only those of anchors; the wide row is fetched for the pairs
-    that an anchor proposes.
+    ``keyed`` is a written table with numbered rows. Only the numbers travel with grams, and only with those of anchors; the wide row
+    is fetched for the pairs that an anchor proposes. A needle has one anchor and a row each gram once, so no pair repeats.
     """
     wanted = scratch.write(
         needles.filter(F.col("needle") != "").select("needle").distinct(), "needles"
@@ -128,12 +123,13 @@ def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataF
     # counts say which grams are crowded
     load = counts.join(anchors.select("gram").distinct(), "gram", "left_semi")
     proposed = lookup_join(
-        _maybe_among(grams, anchors, "gram"), anchors.select("gram", "needle"), ["gram"], spread=ROW, how="inner",
+        _maybe_among(grams, anchors, "gram"), anchors.select("gram", "needle"), ["gram"], spread=["row"], how="inner",
         load=load, weight="n",
     )
     # written, or the count of crowded rows would find all of them again
-    pairs = scratch.write(proposed.select("needle", *ROW).distinct(), "pairs")
-    met = lookup_join(pairs, keyed, ROW, spread=["needle"], how="inner").filter(F.contains(F.col("key_text"), F.col("needle")))
+    pairs = scratch.write(proposed.select("needle", "row"), "pairs")
+    free_shuffles(scratch.spark)
+    met = lookup_join(pairs, keyed, ["row"], spread=["needle"], how="inner").filter(F.contains(F.col("key_text"), F.col("needle")))
     needle = F.col("needle")
     inside = (
         F.contains(F.col("id_key"), needle)
@@ -149,7 +145,7 @@ def all_matches(keyed: DataFrame, needles: DataFrame, scratch: Scratch) -> DataF
     return (
         met.withColumn("rank", rank)
         .filter(F.col("rank").isNotNull())
-        .select("needle", "rank", *ENTITY)
+        .select("needle", "rank", "row", *ENTITY)
     )
 
 
@@ -189,13 +185,16 @@ def lookup(
     """
     scratch = scratch or Scratch(entities.sparkSession, "lookup")
     needles = scratch.write(needles_of(lookups), "asked")
-    keyed = scratch.write(keyed_entities(entities), "keyed")
+    # the numbers are fixed by being written
+    keyed = scratch.write(keyed_entities(entities).withColumn("row", F.monotonically_increasing_id()), "keyed")
     matches = all_matches(keyed, needles, scratch)
     if limit is None:
         unplaced = matches.withColumn("position", F.lit(None).cast("int"))
         ranked = scratch.write(unplaced, "matches")
-    else:
-        ranked = _best(matches, limit)
+        scratch.drop("pairs")
+    else:  # few are left, and only these are fetched whole
+        best = _best(matches.select("needle", "rank", "row", *ROW), limit).drop(*ROW)
+        ranked = best.join(keyed.select("row", *ENTITY), "row")
     asked = needles.select("query_id", "needle")
     if limit is None:  # any number of matches per needle
         answered = lookup_join(ranked, asked, ["needle"], spread=ROW, how="inner")

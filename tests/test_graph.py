@@ -366,3 +366,20 @@ def test_a_step_shuffles_the_arcs_of_its_frontier_alone(spark, monkeypatch):
     search.step()
     assert {(r.node, r.bits) for r in search.frontier.collect()} == {("8", 1), ("10", 2)}
     assert met[0] < 10
+
+
+def test_lookup_carries_row_numbers_and_fetches_few_rows(spark):
+    rows = [(f"e{i}", "T", f"name {i % 3}", [f"alias{i}"], "d") for i in range(60)] + [("e5", "T", "name again", [], "d")]
+    asked = spark.createDataFrame([(1, "name"), (2, "e5"), (3, "alias7")], "query_id bigint, text string")
+    for limit, many in ((None, 61), (4, 4)):
+        scratch = Scratch(spark, "test")
+        found = lookup(spark.createDataFrame(rows, ENTITY), asked, limit, scratch)
+        got = [(r.query_id, r.rank, r.id, r.title) for r in found.collect()]
+        assert len(got) == len(set(got)) and len([g for g in got if g[0] == 1]) == many
+        # both rows of one identity, each once
+        assert {g for g in got if g[:2] == (2, 0)} == {(2, 0, "e5", "name 2"), (2, 0, "e5", "name again")}
+        assert {g for g in got if g[0] == 3} == {(3, 2, "e7", "name 1")}
+    assert scratch.read("pairs").columns == ["needle", "row"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    ranked = [line for line in plan.splitlines() if "WindowGroupLimit" in line or "Window [" in line]
+    assert ranked and not any("title" in line or "aliases" in line for line in ranked)
