@@ -7,6 +7,7 @@ from graphproof.operators.summary import GraphInvalid
 from graphproof.sources.schema import schema_from_yaml
 
 import pytest
+from pyspark.errors import AnalysisException
 
 EDGE = (
     "src string, relation string, dst string, declaration string, decl_ordinal bigint, "
@@ -168,3 +169,31 @@ def test_long_chains_beside_a_cycle_keep_only_the_cycle(spark):
     rounds = [scratch.read(f"arcs-{i}").select("relation").distinct() for i in (1, 2)]
     assert [r[0] for r in rounds[0].collect()] == ["loop"] and rounds[1].isEmpty()
     scratch.close()
+
+
+def test_edges_without_copies_are_marked_without_a_join(spark, monkeypatch):
+    from graphproof.operators import edge_rules
+    from graphproof.session import Scratch
+
+    schema = schema_from_yaml(spark, SCHEMA)
+    names = [(f"a{i}", "A", f"a{i}", [], "1.md") for i in range(40)] + [("b1", "B", "b1", [], "2.md")]
+    edges = spark.range(400).selectExpr(
+        "concat('a', id % 40) AS src", "IF(id < 40 OR id = 47, 'needs', concat('r', id)) AS relation", "'b1' AS dst",
+        "'1.md' AS declaration", "id AS decl_ordinal", f"CAST(array() AS array<{SELECTOR}>) AS evidence",
+    )
+    met, join = [], edge_rules.lookup_join
+
+    def watched(fact, lookup, on, **more):
+        if on == edge_rules.SEMANTIC_KEY:
+            met.append(fact.count())
+        return join(fact, lookup, on, **more)
+
+    monkeypatch.setattr(edge_rules, "lookup_join", watched)
+    scratch = Scratch(spark, "test")
+    judged = edge_rules.judge_edges(schema, spark.createDataFrame(names, ENTITY), edges, scratch)
+    assert [(r.src, r.decl_ordinal) for r in judged.filter("repeated").collect()] == [("a7", 47)]
+    assert judged.count() == 400 and judged.filter("valid").count() == 40
+    assert len(met) == 2 and max(met) < 40
+    assert "end_a" not in scratch.read("linked_edges").columns
+    with pytest.raises(AnalysisException):
+        scratch.read("linked_sources")
