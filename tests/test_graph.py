@@ -11,7 +11,7 @@ from graphproof.operators.cycles import cycle_nodes, cycle_verdicts, relation_ed
 from graphproof.operators import frontier
 from graphproof.operators.frontier import Search, places
 from graphproof.operators.neighborhood import distances, neighborhood_connections, neighborhood_nodes
-from graphproof.operators.paths import _Request
+from graphproof.operators.paths import _between, _Request
 from graphproof.skew import hot_buckets, lookup_join
 from graphproof.sources.schema import (
     RELATIONS_TABLE,
@@ -383,3 +383,23 @@ def test_lookup_carries_row_numbers_and_fetches_few_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     ranked = [line for line in plan.splitlines() if "WindowGroupLimit" in line or "Window [" in line]
     assert ranked and not any("title" in line or "aliases" in line for line in ranked)
+
+
+def test_path_joins_see_only_arcs_between_their_two_sides(spark):
+    arcs = spark.range(5000).selectExpr("CAST(id AS STRING) AS node", "CAST(id + 1 AS STRING) AS next", "'r' AS relation", "'d' AS declaration")
+    nodes = spark.createDataFrame([("7",), ("9",)], "node string")
+    nexts = spark.createDataFrame([("8",), ("20",)], "node string")
+    left = _between(arcs, nodes, nexts)
+    assert left.columns == arcs.columns
+    assert left.filter("node = '7' AND next = '8'").count() == 1 and left.count() < 10
+
+
+def test_the_hops_of_a_level_are_joined_once(spark):
+    names = [f"n{i}" for i in range(8)]
+    arcs = [(a, "r", b) for a, b in zip(names, names[1:], strict=False)]
+    scratch = Scratch(spark, "test")
+    schema, pairs = make_schema(spark, [("r", False, False)]), spark.createDataFrame([("q", "n0", "n7")], "request_id string, from string, to string")
+    _, steps = shortest_paths(schema, make_entities(spark, names), make_edges(spark, arcs), pairs, scratch)
+    assert [(r.src, r.dst) for r in sorted(steps.collect(), key=lambda r: r.hop)] == [(a, b) for a, _, b in arcs]
+    # written before its crowded keys are counted, and only with arcs that lead on
+    assert scratch.read("leading-1").select("node", "next").collect() == [("n0", "n1")]
