@@ -4,7 +4,7 @@
 2. Pivots are chosen far from one another among a bounded sample of vectors. Each vector is described
    by its ``PREFIX`` nearest pivots in order.
 3. Inverted lists: a vector is in the list of each pivot of its prefix. Vectors of a list are
-   candidates of each other if they share at least ``SHARED`` pivots (counted as bits of pivot sets).
+   candidates of each other if they share at least ``SHARED`` pivots (counted along inverted lists within the list).
    A pair is handled in the list of its smallest shared pivot only, so it counts once.
 4. Candidates are verified by their cosine in double precision, block by block. A list longer than
    ``TILE`` is dealt into tiles, and each pair of tiles is a group of its own: every vector is in
@@ -112,47 +112,58 @@ def _components_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _searcher(pivot_count: int):
-    words = -(-pivot_count // 64)
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        """Link counts and connections of one pair of tiles (or one tile) of a pivot's list."""
-        group = group.sort_values("id", ignore_index=True)
-        n, pivot = len(group), int(group["pivot"].iat[0])
-        prefix = np.stack(group["prefix"].to_list())
-        bits = np.zeros((n, words), np.uint64)
-        for j in range(prefix.shape[1]):
-            bits[np.arange(n), prefix[:, j] // 64] |= np.uint64(1) << (prefix[:, j] % 64).astype(np.uint64)
-        shared = np.zeros((n, n), np.int16)
-        earlier = np.zeros((n, n), bool)  # a smaller pivot is shared as well
-        for w in range(words):
-            both = bits[:, None, w] & bits[None, :, w]
-            shared += np.bitwise_count(both).astype(np.int16)
-            if w < pivot // 64:
-                earlier |= both != 0
-            elif w == pivot // 64:
-                earlier |= (both & ((np.uint64(1) << np.uint64(pivot % 64)) - np.uint64(1))) != 0
-        candidate = (shared >= min(SHARED, prefix.shape[1])) & ~earlier
-        np.fill_diagonal(candidate, False)
-        side = group["side"].to_numpy()
-        if (side == 1).any():  # two tiles: pairs within one are handled elsewhere
-            candidate &= side[:, None] != side[None, :]
-        rows, columns = np.nonzero(candidate)
-        if not len(rows):
-            return pd.DataFrame({"id": [], "links": [], "near": []})
-        unit = _unit(np.stack([np.asarray(v, np.float64) for v in group["embedding"]]))
-        linked = candidate & (unit @ unit.T >= COSINE - 1e-6)
-        rows, columns = np.nonzero(np.triu(linked))
-        # at the threshold itself the plain formula decides, not the block product's rounding
-        raw = [np.asarray(v, np.float64) for v in group["embedding"]]
-        for i, j in zip(rows, columns, strict=True):
-            if abs(unit[i] @ unit[j] - COSINE) <= 1e-6 and raw[i] @ raw[j] / (np.linalg.norm(raw[i]) * np.linalg.norm(raw[j])) < COSINE:
-                linked[i, j] = linked[j, i] = False
-        ids, count = group["id"].to_numpy(), linked @ group["n"].to_numpy()
-        out = pd.DataFrame({"id": ids, "links": count, "near": ids[_components_of(linked)]})
-        return out[out["links"] > 0]
-
-    return search
+def _by_pivot(prefix: np.ndarray) -> dict[int, np.ndarray]:
+    """The rows that have each pivot in their prefix."""
+    order = np.argsort(prefix, axis=None, kind="stable")
+    pivots, starts = np.unique(prefix.ravel()[order], return_index=True)
+    return dict(zip(pivots.tolist(), np.split(order // prefix.shape[1], starts[1:]), strict=True))
+
+
+def _candidates(left: np.ndarray, right: np.ndarray, pivot: int) -> np.ndarray:
+    """Which rows of ``left`` and ``right``, prefixes with ``pivot``, share enough pivots and none before it. Only rows that meet
+    under another pivot are touched."""
+    shared = np.ones((len(left), len(right)), np.int8)
+    earlier = np.zeros(shared.shape, bool)
+    others = _by_pivot(right)
+    for other, rows in _by_pivot(left).items():
+        if other != pivot and other in others:
+            met = rows[:, None], others[other]
+            if other < pivot:
+                earlier[met] = True
+            else:
+                shared[met] += 1
+    return (shared >= min(SHARED, left.shape[1])) & ~earlier
+
+
+def search(group: pd.DataFrame) -> pd.DataFrame:
+    """Link counts and connections of one pair of tiles (or one tile) of a pivot's list."""
+    group = group.sort_values("id", ignore_index=True)
+    prefix, side = np.stack(group["prefix"].to_list()), group["side"].to_numpy()
+    left = right = np.arange(len(group))
+    if side.any():  # two tiles: pairs within one are handled elsewhere
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    candidate = _candidates(prefix[left], prefix[right], int(group["pivot"].iat[0]))
+    if not side.any():
+        candidate = np.triu(candidate, 1)
+    nothing = pd.DataFrame({"id": [], "links": [], "near": []})
+    if not candidate.any():
+        return nothing
+    raw = np.stack([np.asarray(v, np.float64) for v in group["embedding"]])
+    unit = _unit(raw)
+    rows, columns = np.nonzero(candidate & (unit[left] @ unit[right].T >= COSINE - 1e-6))
+    # at the threshold itself the plain formula decides, not the block product's rounding
+    linked = [
+        (i, j) for i, j in zip(left[rows], right[columns], strict=True)
+        if abs(unit[i] @ unit[j] - COSINE) > 1e-6 or raw[i] @ raw[j] / (np.linalg.norm(raw[i]) * np.linalg.norm(raw[j])) >= COSINE
+    ]
+    if not linked:
+        return nothing
+    at, place = np.unique(np.array(linked), return_inverse=True)  # most rows have no link
+    one, other = place.reshape(-1, 2).T
+    matrix = np.zeros((len(at), len(at)), bool)
+    matrix[one, other] = matrix[other, one] = True
+    ids = group["id"].to_numpy()[at]
+    return pd.DataFrame({"id": ids, "links": matrix @ group["n"].to_numpy()[at], "near": ids[_components_of(matrix)]})
 
 
 def vector_links(vectors: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -173,7 +184,7 @@ def vector_links(vectors: DataFrame, scratch: Scratch | None = None) -> DataFram
         F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"),
         F.when(F.col("tile") > F.col("other"), 1).otherwise(0).alias("side"),
     )
-    found = cells.groupBy("pivot", "width", "t1", "t2").applyInPandas(_searcher(len(pivots)), "id long, links long, near long")
+    found = cells.groupBy("pivot", "width", "t1", "t2").applyInPandas(search, "id long, links long, near long")
     found = scratch.write(found, "found")
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -1,6 +1,7 @@
 """The pivot index against brute-force cosines: no false link, recall of at least 0.9."""
 
 import numpy as np
+import pandas as pd
 
 from graphproof.llm import pivot_index
 from graphproof.llm.pivot_index import vector_links
@@ -55,3 +56,38 @@ def test_awkward_vectors(spark):
     linked = [(str(i), 4, 7) for i in (7, 8, 9, 9, 12, 13)]
     assert out == sorted([*lonely, *linked, ("None", 0, None)])
     assert vector_links(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_cells_of_one_and_of_two_tiles():
+    rng = np.random.default_rng(5)
+    pivot, n = 20, 90
+    centers = rng.normal(size=(30, 16))
+    x = np.concatenate([c + rng.normal(size=(3, 16)) * 0.08 for c in centers])
+    others = np.array([rng.permutation([p for p in range(18, 60) if p != pivot])[:4] for _ in range(n)])
+    prefix = np.concatenate([np.full((n, 1), pivot), np.repeat(others[::3], 3, axis=0)], axis=1)
+    prefix[::4, 1:] = others[::4]
+    prefix[::9, 1:] = np.arange(21, 25)
+    sets, unit = [set(p) for p in prefix.tolist()], x / np.linalg.norm(x, axis=1, keepdims=True)
+    for tiles in (1, 2):
+        side = rng.integers(0, tiles, n)
+        want = np.zeros((n, n), bool)
+        for i in range(n):
+            for j in range(n):
+                shared = sets[i] & sets[j]
+                apart = tiles == 1 or side[i] != side[j]
+                want[i, j] = i != j and apart and len(shared) >= 2 and min(shared) == pivot and unit[i] @ unit[j] >= 0.9
+        assert want.sum() > 20
+        order = rng.permutation(n)
+        group = pd.DataFrame({"id": np.arange(n) * 3, "n": rng.integers(1, 4, n), "embedding": list(x), "prefix": list(prefix), "pivot": pivot, "side": side})
+        got = pivot_index.search(group.iloc[order]).set_index("id")
+        links, near = want @ group["n"].to_numpy(), group["id"].to_numpy()[pivot_index._components_of(want)]
+        assert {i: (r.links, r.near) for i, r in got.iterrows()} == {i * 3: (links[i], near[i]) for i in range(n) if links[i]}
+
+
+def test_rows_are_compared_only_where_they_meet_under_another_pivot():
+    prefix = np.array([[7, 1], [7, 9], [7, 9], [7, 8]])
+    found = pivot_index._candidates(prefix, prefix, 7)
+    assert [(i, j) for i, j in zip(*np.nonzero(found), strict=True) if i < j] == [(1, 2)]
+    two = pivot_index._candidates(prefix[:1], prefix[1:], 7)
+    assert two.shape == (1, 3) and not two.any()  # no cell within a tile
+    assert pivot_index._candidates(np.array([[7]]), np.array([[7], [7]]), 7).all()  # a single pivot
